@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from symdex.llm import sharding
+from symdex.llm import mixing, sharding
 
 QUERIES = {
     "op1_rendezvous_sharding": sharding.op1_rendezvous_sharding,
+    "op3_source_mixing": mixing.op3_source_mixing,
+    "mix_source_targets": mixing.mix_source_targets,
 }
 
 ORACLES = {
     "op1_rendezvous_sharding": sharding.ORACLE_OP1,
+    "mix_source_targets": mixing.ORACLE_MIX,
 }
