@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from symdex.llm import mixing, sharding
+from symdex.llm import decontamination, mixing, sharding
 
 QUERIES = {
     "op1_rendezvous_sharding": sharding.op1_rendezvous_sharding,
+    "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
     "op3_source_mixing": mixing.op3_source_mixing,
     "mix_source_targets": mixing.mix_source_targets,
 }
 
 ORACLES = {
     "op1_rendezvous_sharding": sharding.ORACLE_OP1,
+    "op2_benchmark_decontamination": decontamination.ORACLE_OP2,
     "mix_source_targets": mixing.ORACLE_MIX,
 }
