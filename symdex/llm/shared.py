@@ -36,15 +36,16 @@ def work_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     This cuts the lineage, so a lost executor costs no more than the stage at hand, and it lets
-    several consumers read one result.
+    several consumers read one result. The writers of zstd hold native memory for each column and
+    file, so that codec is only for few large files.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/symdex/{uuid.uuid4().hex}/{label}"
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
