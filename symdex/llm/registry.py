@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from symdex.llm import decontamination, mixing, near_duplicates, sharding
+from symdex.llm import decontamination, mixing, near_duplicates, sharding, toxicity
 
 QUERIES = {
     "op1_rendezvous_sharding": sharding.op1_rendezvous_sharding,
     "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
     "op3_source_mixing": mixing.op3_source_mixing,
     "mix_source_targets": mixing.mix_source_targets,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_minhash_near_duplicates": near_duplicates.op10_minhash_near_duplicates,
 }
 

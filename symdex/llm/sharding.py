@@ -76,7 +76,7 @@ def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with shard and slot."""
-    return number(assign(docs, "doc_id"), "shard", "doc_id", ["n_chars"])
+    return number(assign(docs, "doc_id"), "shard", "doc_id", ["n_chars"]).select(*docs.columns, "shard", "slot")
 
 
 _BIDS = """

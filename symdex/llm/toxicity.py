@@ -152,13 +152,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     at = docs.columns.index(text)
     schema = docs.drop(column).schema.add(column, "double")
     keep = [i for i, c in enumerate(docs.columns) if c != column]
+    names = [*(docs.columns[i] for i in keep), column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for lo, hi in text_blocks(texts):
                 own = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in keep), pa.array(shared.value.scores(texts[lo:hi]))], names=[*(docs.columns[i] for i in keep), column])
+                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in keep), pa.array(shared.value.scores(texts[lo:hi]))], names=names)
 
     return docs.mapInArrow(run, schema)
 
