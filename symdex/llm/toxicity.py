@@ -6,8 +6,8 @@ feature's value is its naive Bayes log-count ratio between labels 1 and 0; logis
 weighs the scaled features. Features whose share doesn't differ clearly between the labels have
 the value 0, so that a long text of ordinary words gathers no score by its length.
 
-The classifier is fitted on the driver to a bounded sample of labelled rows (SAMPLE for each
-label, texts of at most SAMPLE_CHARS); every document is then scored whole, without a shuffle.
+The classifier is fitted to a bounded sample of labelled rows (SAMPLE for each label, texts of at
+most SAMPLE_CHARS); every document is then scored whole, without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symdex.llm.shared import bound_batches, table, text_blocks
+from symdex.llm.near_duplicates import shingle_sets
+from symdex.llm.shared import bound_batches, materialize, mix64, table, text_blocks
 
 BITS = 18
 GRAMS = (3, 4, 5, 6)
 #: Labelled rows of each label that the classifier is fitted to, at most.
 SAMPLE = 4000
 SAMPLE_CHARS = 50_000
+#: Characters of sampled text that are taken apart at a time; each makes about 30 bytes of features.
+SAMPLE_BLOCK = 1_000_000
 #: Standard errors by which a feature's share must differ between the labels.
 CLEAR = 4.0
 THRESHOLD = 0.7
@@ -72,45 +75,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def distinct_texts(texts: list[str | None]) -> list[int]:
-    """Places of texts that share no least 5-word hash (of two hashes) with an earlier one: copies count once."""
-    from symdex.llm.near_duplicates import shingle_sets
-    from symdex.llm.shared import mix64
-
+def distinct_rows(marks: list[tuple[int, ...]]) -> list[int]:
+    """Places of rows that share no mark with an earlier one: copies and near copies count once."""
     seen: set[int] = set()
     out = []
-    for i, h in enumerate(shingle_sets(texts)):
-        marks = {int(h.min()), int(mix64(h + np.uint64(7)).min())} if len(h) else {0}
-        if not marks & seen:
+    for i, own in enumerate(marks):
+        if not seen & set(own):
             out.append(i)
-        seen |= marks
+        seen |= set(own)
     return out
 
 
-def fit(texts: list[str | None], labels: list[int], rounds: int = 300, ridge: float = 1e-3) -> Model:
-    """The classifier of these rows. With one label only, the score is that label's share everywhere."""
-    keep = distinct_texts(texts)
-    texts, y = [texts[i] for i in keep], np.array([labels[i] for i in keep], float)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    if not n1 or not n0:
-        share = (n1 + 1e-9) / max(len(y), 1)
-        return Model(np.zeros(1 << BITS), float(np.log(share / (1 - min(share, 1 - 1e-9)))) if share > 1e-6 else -30.0)
-    docs, feats = [], []
-    for lo, hi in text_blocks(texts):
-        d, f = present(texts[lo:hi])
-        docs.append(d + lo)
-        feats.append(f)
-    doc, feat = np.concatenate(docs), np.concatenate(feats)
-    ones, all_ = np.bincount(feat, y[doc], 1 << BITS), np.bincount(feat, minlength=1 << BITS)
-    zeros = all_ - ones
-    p, q, both = ones / n1, zeros / n0, all_ / len(y)
-    clear = np.abs(p - q) > CLEAR * np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n1 + 1 / n0))
-    ratio = np.where(clear & (all_ >= 3), np.log((ones + 1) / (ones + 1).sum()) - np.log((zeros + 1) / (zeros + 1).sum()), 0.0)
-    live = ratio[feat] != 0
-    doc, feat = doc[live], feat[live]
-    names, feat = np.unique(feat, return_inverse=True)
+def ratios(ones: np.ndarray, zeros: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Naive Bayes log-count ratio of each feature, 0 for those whose share doesn't differ clearly."""
+    every = ones + zeros
+    both = every / (n1 + n0)
+    clear = np.abs(ones / n1 - zeros / n0) > CLEAR * np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n1 + 1 / n0))
+    return np.where(clear & (every >= 3), np.log((ones + 1) / (ones + 1).sum()) - np.log((zeros + 1) / (zeros + 1).sum()), 0.0)
+
+
+def fit(features_of: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, rounds: int = 300, ridge: float = 1e-3) -> Model:
+    """Logistic regression on the scaled features of the rows (their features with a ratio other than 0)."""
+    if not y.sum() or y.all():  # one label only: its share is the score everywhere
+        return Model(np.zeros(1 << BITS), 30.0 if len(y) and y.all() else -30.0)
+    doc = np.repeat(np.arange(len(y)), [len(f) for f in features_of])
+    names, feat = np.unique(np.concatenate(features_of), return_inverse=True)
     x, weight, bias = ratio[names][feat], np.zeros(len(names)), 0.0
-    balance = np.where(y > 0, 0.5 / n1, 0.5 / n0)  # both labels weigh the same
+    balance = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # both labels weigh the same
     m = v = np.zeros(len(names) + 1)
     for t in range(1, rounds + 1):
         z = bias + np.bincount(doc, weight[feat] * x, len(y))
@@ -132,22 +123,64 @@ def remainder(key: Column, of: int) -> Column:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit to labelled rows whose remainder mod 3 isn't 1.
 
-    The sample is the rows of each label with the least key hashes, `sample` of them; the
-    chosen keys are few enough to broadcast. Keys with both labels, null keys and null labels
-    teach nothing.
+    The sample is the rows of each label with the least key hashes, `sample` of them; the chosen
+    keys are few enough to broadcast. Keys with both labels, null keys and null labels teach
+    nothing. The texts stay on the executors: they make each row's features and count them; the
+    driver gets two counts for each of the 2**18 features and then, of the sample, the features
+    that tell the labels apart.
     """
     own = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z")
     own = own.where(remainder(F.col(key), 3) != 1).select(key, "y")
     picked = [own.where(f"y = {y}").orderBy(F.xxhash64(key), key).limit(sample) for y in (0, 1)]
-    rows = docs.where(F.length(text) <= SAMPLE_CHARS).join(F.broadcast(picked[0].unionByName(picked[1])), key).select(F.col(key).alias("k"), F.col(text).alias("t"), "y").toArrow()
-    rows = sorted(zip(rows["k"].to_pylist(), rows["t"].to_pylist(), rows["y"].to_pylist(), strict=True))
-    return fit([t for _, t, _ in rows], [y for _, _, y in rows])
+    rows = docs.where(F.length(text) <= SAMPLE_CHARS).join(F.broadcast(picked[0].unionByName(picked[1])), key).select(F.col(key).cast("string").alias("k"), F.col("y").cast("long").alias("y"), F.col(text).alias("t"))
+
+    def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, y, texts = (batch.column(i) for i in range(3))
+            texts = texts.to_pylist()
+            for lo, hi in text_blocks(texts, SAMPLE_BLOCK):
+                doc, f = present(texts[lo:hi])
+                cut = np.searchsorted(doc, np.arange(1, hi - lo))
+                marks = [[int(h.min()), int(mix64(h + np.uint64(7)).min())] if len(h) else [0, 0] for h in shingle_sets(texts[lo:hi])]
+                marks = np.array(marks, np.uint64).view(np.int64)
+                packed = [x.astype(np.int32).tobytes() for x in np.split(f, cut)]
+                yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), y.slice(lo, hi - lo), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(packed, pa.binary())], names=["k", "y", "m1", "m2", "f"])
+
+    bound_batches(docs.sparkSession)
+    parts = materialize(rows.mapInArrow(take_apart, "k string, y bigint, m1 bigint, m2 bigint, f binary"), "features")
+    first = sorted(map(tuple, parts.select("k", "y", "m1", "m2").toArrow().to_pandas().to_numpy().tolist()))
+    keep = {first[i][0]: first[i][1] for i in distinct_rows([x[2:] for x in first])}
+    n1 = sum(keep.values())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros((2, 1 << BITS), np.int32)
+        for batch in batches:
+            for k, y, f in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if k in keep:
+                    both[y, np.frombuffer(f, np.int32)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary())], names=["c"])
+
+    counts = np.zeros((2, 1 << BITS), np.int64)
+    once = parts.dropDuplicates(["k"])
+    for row in once.select("k", "y", "f").coalesce(4).mapInArrow(count, "c binary").toLocalIterator():
+        counts += np.frombuffer(row[0], np.int32).reshape(2, -1)
+    ratio = ratios(counts[1], counts[0], n1, len(keep) - n1) if 0 < n1 < len(keep) else np.zeros(1 << BITS)
+
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, f = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            f = [(x := np.frombuffer(b, np.int32))[ratio[x] != 0].tobytes() for b in f]
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(f, pa.binary())], names=["k", "f"])
+
+    got = once.select("k", "f").mapInArrow(telling, "k string, f binary").toArrow()
+    rows = sorted((k, f) for k, f in zip(got["k"].to_pylist(), got["f"].to_pylist(), strict=True) if k in keep)
+    return fit([np.frombuffer(f, np.int32) for _, f in rows], np.array([keep[k] for k, _ in rows], float), ratio)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """`docs` with the score (double) of each whole text; an empty or null text has the score of no feature."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model.weights, model.bias))  # 2 MB whatever the input; plain values need no class on the executors
     bound_batches(spark)
     at = docs.columns.index(text)
     schema = docs.drop(column).schema.add(column, "double")
@@ -155,11 +188,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     names = [*(docs.columns[i] for i in keep), column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_model = Model(*shared.value)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for lo, hi in text_blocks(texts):
                 own = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in keep), pa.array(shared.value.scores(texts[lo:hi]))], names=names)
+                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in keep), pa.array(own_model.scores(texts[lo:hi]))], names=names)
 
     return docs.mapInArrow(run, schema)
 
