@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from symdex.llm import decontamination, mixing, near_duplicates, sharding, toxicity
+from symdex.llm import decontamination, mixing, near_duplicates, sharding, toxicity, warc
 
 QUERIES = {
     "op1_rendezvous_sharding": sharding.op1_rendezvous_sharding,
     "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
     "op3_source_mixing": mixing.op3_source_mixing,
     "mix_source_targets": mixing.mix_source_targets,
+    "op4_warc_archives": warc.op4_warc_archives,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_minhash_near_duplicates": near_duplicates.op10_minhash_near_duplicates,
 }
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLES = {
     "op1_rendezvous_sharding": sharding.ORACLE_OP1,
     "op2_benchmark_decontamination": decontamination.ORACLE_OP2,
+    "op4_warc_archives": warc.ORACLE_OP4,
     "mix_source_targets": mixing.ORACLE_MIX,
 }

@@ -9,7 +9,6 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Words of the shingle, mixing and language-model operators: runs without ASCII white space.
 BLANK = r"[^\x20\x09-\x0D]+"
@@ -146,4 +145,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return leaf.unionByName(leaf.select(F.col("component").alias("node"), "component").distinct())
 
 
-LONG = T.LongType()
+#: Parts over which the rows of one group are dealt.
+SALTS = 64
+
+
+def attach_group(df: DataFrame, key: str, salt_by: str, aggs: dict[str, tuple[str, str]], salts: int = SALTS) -> DataFrame:
+    """`df` with aggregates {name: (max, min, sum or count, column)} of each row's group by a non-null `key`.
+
+    Groups are aggregated by (key, salt) and then by key; the outcome goes back to the salts in
+    which the group has rows, so a hot group is spread over `salts` tasks and is never gathered.
+    """
+    merge = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.sum}
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    part = salted.groupBy(key, "__salt").agg(*[getattr(F, how)(c).alias(name) for name, (how, c) in aggs.items()])
+    whole = part.groupBy(key).agg(*[merge[how](name).alias(name) for name, (how, _) in aggs.items()], F.collect_set("__salt").alias("__salts"))
+    back = whole.withColumn("__salt", F.explode("__salts")).drop("__salts")
+    return salted.join(back, [key, "__salt"]).drop("__salt")
