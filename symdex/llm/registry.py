@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from symdex.llm import decontamination, mixing, near_duplicates, sharding, toxicity, warc
+from symdex.llm import decontamination, licenses, mixing, near_duplicates, sharding, toxicity, warc
 
 QUERIES = {
     "op1_rendezvous_sharding": sharding.op1_rendezvous_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_source_mixing": mixing.op3_source_mixing,
     "mix_source_targets": mixing.mix_source_targets,
     "op4_warc_archives": warc.op4_warc_archives,
+    "op5_license_scan": licenses.op5_license_scan,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_minhash_near_duplicates": near_duplicates.op10_minhash_near_duplicates,
 }
@@ -18,5 +19,6 @@ ORACLES = {
     "op1_rendezvous_sharding": sharding.ORACLE_OP1,
     "op2_benchmark_decontamination": decontamination.ORACLE_OP2,
     "op4_warc_archives": warc.ORACLE_OP4,
+    "op5_license_scan": licenses.ORACLE_OP5,
     "mix_source_targets": mixing.ORACLE_MIX,
 }
