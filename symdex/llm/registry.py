@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from symdex.llm import decontamination, licenses, mixing, near_duplicates, privacy, sharding, toxicity, warc
+from symdex.llm import decontamination, embedding_duplicates, licenses, mixing, near_duplicates, privacy, sharding, toxicity, warc
 
 QUERIES = {
     "op1_rendezvous_sharding": sharding.op1_rendezvous_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_warc_archives": warc.op4_warc_archives,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_pii_sanitisation": privacy.op6_pii_sanitisation,
+    "op7_embedding_near_duplicates": embedding_duplicates.op7_embedding_near_duplicates,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_minhash_near_duplicates": near_duplicates.op10_minhash_near_duplicates,
 }
