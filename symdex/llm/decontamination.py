@@ -10,7 +10,7 @@ segment yields the result rows of its own documents.
 
 from __future__ import annotations
 
-import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain
@@ -22,22 +22,22 @@ from pyspark.sql import functions as F
 
 from symdex.llm.shared import bound_batches, materialize, table, text_blocks
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Bytes of words stay, A-Z in lower case; all other ASCII parts words. Bytes from 0x80 on belong to letters beyond ASCII.
+_WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 WINDOW = 8
 LEAST_ITEMS = 2
 #: Bytes of test text that one search takes to the executors; a larger test set is searched in several passes.
 BLOCK_BYTES = 16_000_000
 #: Candidate positions looked at together.
 CANDIDATES = 2_000_000
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
-SEGMENT = "doc_ids array<bigint>, starts binary, terms array<string>, offsets binary, positions binary"
+SEGMENT = "doc_ids array<bigint>, starts binary, terms array<binary>, offsets binary, positions binary"
 HITS = "doc_id bigint, n_words bigint, spans array<int>, items array<string>"
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words after A-Z became a-z; none for a null."""
-    return WORD.findall(text.translate(_LOWER)) if text else []
+def words_of(text: str | None) -> list[bytes]:
+    """Words (UTF-8) after A-Z became a-z; none for a null."""
+    return text.encode().translate(_WORD_BYTES).split() if text else []
 
 
 def index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,11 +45,12 @@ def index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lo, hi in text_blocks(texts):
-            number: dict[str, int] = {}
+            number: defaultdict[bytes, int] = defaultdict()
+            number.default_factory = number.__len__
             flat, starts = [], [0]
             for text in texts[lo:hi]:
                 found = words_of(text)
-                flat.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
+                flat.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
                 starts.append(starts[-1] + len(found) + 1)  # the gap keeps windows inside a document
             where = np.concatenate([np.arange(s, s + len(x), dtype=np.int32) for s, x in zip(starts, flat, strict=False)])
             term = np.concatenate(flat)
@@ -57,7 +58,7 @@ def index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             offsets = np.zeros(len(number) + 1, np.int64)
             np.cumsum(np.bincount(term, minlength=len(number)), out=offsets[1:])
             row = [[ids[lo:hi]], [np.asarray(starts, np.int64).tobytes()], [list(number)], [offsets.tobytes()], [where[order].astype(np.int32).tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.list_(pa.int64())), pa.array(row[1], pa.binary()), pa.array(row[2], pa.list_(pa.string())), pa.array(row[3], pa.binary()), pa.array(row[4], pa.binary())], names=["doc_ids", "starts", "terms", "offsets", "positions"])
+            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.list_(pa.int64())), pa.array(row[1], pa.binary()), pa.array(row[2], pa.list_(pa.binary())), pa.array(row[3], pa.binary()), pa.array(row[4], pa.binary())], names=["doc_ids", "starts", "terms", "offsets", "positions"])
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,9 +131,9 @@ class Segment:
             yield at, owner
 
 
-def windows_of(items: list[tuple[object, str | None]], window: int = WINDOW) -> dict[int, tuple[list[list[str]], list[set[str]]]]:
+def windows_of(items: list[tuple[object, str | None]], window: int = WINDOW) -> dict[int, tuple[list[list[bytes]], list[set[str]]]]:
     """Distinct windows of the items by length, with the ids (as text) of the items that hold them."""
-    by: dict[int, dict[tuple[str, ...], set[str]]] = {}
+    by: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
     for item, text in items:
         found = words_of(text)
         n = min(window, len(found))
@@ -169,15 +170,14 @@ def search(index: DataFrame, items: list[tuple[object, str | None]], window: int
                         np.add.at(edge, start, 1)
                         np.add.at(edge, start + width, -1)
                         doc = np.searchsorted(seg.starts, start, side="right") - 1
-                        for d, w in np.unique(np.stack([doc, known[owner]]), axis=1).T.tolist():
-                            found[d] |= owners[w]
+                        for both in np.unique(doc * len(windows) + known[owner]).tolist():
+                            found[both // len(windows)] |= owners[both % len(windows)]
                 hit = np.cumsum(edge[:-1]) > 0
                 turn = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))  # starts and ends by turns; gaps part documents
                 cut = np.searchsorted(turn, seg.starts)
                 spans = [(turn[a:b] - s).tolist() for a, b, s in zip(cut, cut[1:], seg.starts, strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(seg.ids, pa.int64()), pa.array(seg.n_words), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
 
-    bound_batches(spark, 4)
     return index.mapInArrow(run, HITS)
 
 
