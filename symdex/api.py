@@ -27,13 +27,31 @@ class Engine:
         self.embedder = embedder or HashEmbedder()
         self.store = Store(spark, index or project_folder(self.root))
         self.vectors = QueryVectors(self.embedder)
+        self.pinned: tuple[int, dict[str, DataFrame]] = (0, {})
         custom = (os.environ.get("SYMDEX_CUSTOM_PLATFORM", "").strip(), os.environ.get("SYMDEX_CUSTOM_MARKER", "").strip())
         self.indexer = Indexer(spark, self.root, self.store, self.embedder, progress, custom)
 
     # ---- queries
 
+    def table(self, m: Manifest | None, name: str) -> DataFrame:
+        """Chunks, vectors or postings of a version, from memory if that version is pinned."""
+        version, tables = self.pinned
+        return tables[name] if m is not None and version == m.version and name in tables else self.store.table(m, name)
+
+    def pin(self) -> None:
+        """Keep the published version in the executors' memory (and on their disks beyond it) for many searches in a row."""
+        self.unpin()
+        m = self.store.manifest()
+        if m is not None:
+            self.pinned = (m.version, {name: self.store.table(m, name).persist() for name in ("chunks", "vectors", "postings")})
+
+    def unpin(self) -> None:
+        for df in self.pinned[1].values():
+            df.unpersist()
+        self.pinned = (0, {})
+
     def chunks(self, m: Manifest | None = None) -> DataFrame:
-        return self.store.table(m or self.store.manifest(), "chunks")
+        return self.table(m or self.store.manifest(), "chunks")
 
     def _plain(self, df: DataFrame) -> DataFrame:
         """Hits of one leg in the columns of all hits."""
@@ -44,12 +62,12 @@ class Engine:
 
     def search_similar(self, vector: list[float], limit: int = 10) -> DataFrame:
         m = self.store.manifest()
-        hits = nearest(self.store.table(m, "vectors"), vector, limit)
+        hits = nearest(self.table(m, "vectors"), vector, limit)
         return self.chunks(m).join(F.broadcast(hits), "id").orderBy("distance", "id")
 
     def text_hits(self, m: Manifest | None, query: str, limit: int) -> DataFrame:
         found = phrases(query)
-        return fulltext.rank(self.store.table(m, "postings"), found, m.n_chunks if m else 0, m.n_tokens if m else 0).orderBy("rank", "id").limit(limit)
+        return fulltext.rank(self.table(m, "postings"), found, m.n_chunks if m else 0, m.n_tokens if m else 0).orderBy("rank", "id").limit(limit)
 
     def search_text(self, query: str, limit: int = 10) -> DataFrame:
         m = self.store.manifest()
@@ -74,7 +92,7 @@ class Engine:
             return self._plain(chunks.join(F.broadcast(hits), "id").orderBy("rank", "id"))
         wide = search.OVERFETCH * limit
         # both legs are at most 3 * limit rows: kept on the driver as literals, so the legs run once
-        near = self._held(nearest(self.store.table(m, "vectors"), vector, wide), "id bigint, distance double")
+        near = self._held(nearest(self.table(m, "vectors"), vector, wide), "id bigint, distance double")
         text = self._held(self.text_hits(m, query, wide), "id bigint, rank double")
         if not near[1] and not text[1]:
             return self._plain(search.by_like(chunks, query, limit))
