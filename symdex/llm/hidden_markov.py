@@ -165,8 +165,8 @@ def encode(docs: DataFrame, counts: Counts) -> DataFrame:
                 symbols[rare] = VOCAB + kinds
                 doc = np.repeat(np.arange(len(size)), size)
                 start = np.concatenate([[0], np.cumsum(size)])
-                sure = np.bincount(doc[known], logs[at[known]], len(size)) + math.log10(ends + 0.5)
-                away = np.bincount(doc[rare], class_log[kinds], len(size))
+                sure = np.bincount(doc[known], logs[at[known]], len(size)).astype(float) + math.log10(ends + 0.5)
+                away = np.bincount(doc[rare], class_log[kinds], len(size)).astype(float)
                 n_known = np.bincount(doc[known], minlength=len(size)) + (ends > 0)
                 first = np.searchsorted(rare, start)
                 end = np.array([END], np.uint16)

@@ -23,16 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+    """This application's folder for work tables in the folder that driver and executors share, spark.checkpoint.dir of the session.
 
-    Only where it is unset (a local test session) a temporary folder takes its place.
+    Only where that is unset (a local session, as in tests) a temporary folder takes its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", "") or ""
+    app = spark.sparkContext.applicationId
+    base = spark.conf.get("spark.checkpoint.dir", "") or _LOCAL.get(app)
     if not base:
-        base = Path(tempfile.mkdtemp(prefix="symdex-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return base.rstrip("/")
+        base = _LOCAL[app] = Path(tempfile.mkdtemp(prefix="symdex-")).as_uri()
+    return f"{base.rstrip('/')}/symdex/{app}"
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Delete this application's work tables; results that haven't been read or written yet are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
@@ -43,7 +52,7 @@ def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     file, so that codec is only for few large files.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/symdex/{uuid.uuid4().hex}/{label}"
+    path = f"{work_dir(spark)}/{uuid.uuid4().hex}/{label}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

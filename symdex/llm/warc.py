@@ -367,7 +367,7 @@ def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     of their own, all of the same type. A record that fails validation would have a null
     page_id and type and its fault in `error`.
     """
-    path = f"{work_dir(spark)}/symdex/{uuid.uuid4().hex}/warc"
+    path = f"{work_dir(spark)}/{uuid.uuid4().hex}/warc"
     archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     back = read_archives(spark, path, keep_payload=False)
     page = lambda c: F.regexp_extract(c, r"^<urn:x-page:(-?[0-9]+)>$", 1)
