@@ -17,7 +17,7 @@ from symdex.llm.shared import ascii_lower, table
 # ---- fixed values: words of public licences ------------------------------------------------
 
 #: Every known sentence has one of these.
-CUES = ("licen", "copyright", "permission", "redistribut", "warrant", "liab", "public domain", "free software", "endorse", "unencumbered", "as is", "commercial applications", "misrepresented")
+CUES = ("licen", "copyright", "permission", "redistribut", "warrant", "liab", "public domain", "free software", "endorse", "unencumbered", "as is", "mozilla", "spdx", "released under", "distributed under", "available under", "published under")
 
 #: Sentence identifiers and the sentences as written; they are normalised like any text.
 SENTENCES = (
@@ -41,12 +41,16 @@ SENTENCES = (
     ("APACHE2_COPY", "You may obtain a copy of the License at"),
     ("APACHE2_UNLESS", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
     ("APACHE2_SEE", "See the License for the specific language governing permissions and limitations under the License."),
-    ("GPL2_LATER", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("GPL3_LATER", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL2_ONLY", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
-    ("AGPL3_LATER", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("LGPL21_LATER", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
-    ("LGPL3_LATER", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("FREE_SOFTWARE", "This program is free software"),
+    ("FREE_SOFTWARE", "This library is free software"),
+    ("GPL_TERMS", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("LGPL_TERMS", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("V2_LATER", "either version 2 of the License, or (at your option) any later version."),
+    ("V21_LATER", "either version 2.1 of the License, or (at your option) any later version."),
+    ("V3_LATER", "either version 3 of the License, or (at your option) any later version."),
+    ("GPL2_ONLY", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL3_LATER", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL3_LATER", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL_HOPE", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
     ("MPL2_UNDER", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL2_COPY", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
@@ -90,12 +94,13 @@ RULES = (
     ("Apache-2.0", ("APACHE2_UNDER", "APACHE2_COMPLY")),
     ("Apache-2.0", ("APACHE2_UNDER",)),
     ("AGPL-3.0-or-later", ("AGPL3_LATER",)),
-    ("LGPL-3.0-or-later", ("LGPL3_LATER",)),
-    ("LGPL-2.1-or-later", ("LGPL21_LATER",)),
+    ("LGPL-2.1-or-later", ("LGPL_TERMS", "V21_LATER")),
+    ("LGPL-3.0-or-later", ("LGPL_TERMS", "V3_LATER")),
     ("GPL-3.0-or-later", ("GPL3_LATER", "GPL_HOPE")),
-    ("GPL-2.0-or-later", ("GPL2_LATER", "GPL_HOPE")),
+    ("GPL-2.0-or-later", ("GPL_TERMS", "V2_LATER", "GPL_HOPE")),
     ("GPL-3.0-or-later", ("GPL3_LATER",)),
-    ("GPL-2.0-or-later", ("GPL2_LATER",)),
+    ("GPL-3.0-or-later", ("GPL_TERMS", "V3_LATER")),
+    ("GPL-2.0-or-later", ("GPL_TERMS", "V2_LATER")),
     ("GPL-2.0-only", ("GPL2_ONLY",)),
     ("MPL-2.0", ("MPL2_UNDER",)),
     ("Zlib", ("ZLIB_ASIS", "ZLIB_LIABLE", "ZLIB_GRANT")),
@@ -110,8 +115,9 @@ RULES = (
 # ---- rules of the language ------------------------------------------------------------------
 
 _WS = r"[\x20\x09-\x0D]"
-#: In turn: comment leaders go; blank lines, sentence ends and line starts with an opening word become borders.
+#: In turn: a tag keeps what it names; comment leaders go; blank lines, sentence ends and line starts with an opening word become borders.
 CUTS = (
+    ("(spdx-license-identifier):", "{1} "),
     (r"(^|\n)[\x20\x09]*(?://+|#+|/\*+|\*+/?|;+|--+|%+|>+)[\x20\x09]*", "{1}"),
     (rf"\n{_WS}*\n", "\x01"),
     (rf"([.!?:;])(?:{_WS}+|$)", "\x01"),
@@ -155,6 +161,11 @@ def catalogue() -> tuple[dict[str, str], dict[str, str]]:
     return known, {normal(n): i for i, n in NAMES}
 
 
+def identifiers() -> dict[str, str]:
+    """Licences in lower case to their names as usually written."""
+    return {i.lower(): i for i in sorted({i for i, _ in NAMES} | {i for i, _ in RULES})}
+
+
 def in_map(pairs: dict[str, str], key: Column) -> Column:
     """The value of `key` in a small fixed map, null outside."""
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(pairs.items()) for x in kv]), key)
@@ -165,7 +176,8 @@ def identify(sentence: Column) -> Column:
     known, names = catalogue()
     named = in_map(names, F.regexp_extract(sentence, STATEMENT, 1))
     spdx = F.regexp_extract(sentence, SPDX, 1)
-    return F.when(F.regexp_like(sentence, F.lit(COPYRIGHT)), "COPYRIGHT").when(spdx != "", F.concat(F.lit("SPDX:"), F.replace(spdx, F.lit(" "), F.lit("-")))).otherwise(F.coalesce(in_map(known, sentence), F.concat(F.lit("UNDER:"), named)))
+    spdx = F.replace(spdx, F.lit(" "), F.lit("-"))
+    return F.when(F.regexp_like(sentence, F.lit(COPYRIGHT)), "COPYRIGHT").when(spdx != "", F.concat(F.lit("SPDX:"), F.coalesce(in_map(identifiers(), spdx), spdx))).otherwise(F.coalesce(in_map(known, sentence), F.concat(F.lit("UNDER:"), named)))
 
 
 def has_cue(lower: Column) -> Column:
@@ -182,7 +194,7 @@ def sentences(text: Column) -> Column:
     for pattern, by in CUTS:
         cut = F.regexp_replace(cut, pattern, by.format("", "$1", "$2"))
     parts = F.transform(F.split(cut, "\x01"), lambda x: clean(x))
-    cued = F.filter(parts, lambda x: has_cue(x) | F.startswith(x, F.lit("you may")) | F.startswith(x, F.lit("if a copy")) | F.startswith(x, F.lit("spdx")) | F.startswith(x, F.lit("unauthorized")) | F.regexp_like(x, F.lit(STATEMENT)))
+    cued = F.filter(parts, has_cue)
     return F.when(has_cue(lower), cued).otherwise(F.array().cast("array<string>"))
 
 
@@ -235,7 +247,7 @@ def oracle() -> str:
     cue = lambda c: "(" + " or ".join(f"contains({c}, {q(x)})" for x in CUES) + ")"
     a_map = lambda m: "map {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in sorted(m.items())) + "}"
     identify_sql = f"""case when regexp_matches(x, {q(COPYRIGHT)}) then 'COPYRIGHT'
-      when regexp_extract(x, {q(SPDX)}, 1) <> '' then 'SPDX:' || replace(regexp_extract(x, {q(SPDX)}, 1), ' ', '-')
+      when regexp_extract(x, {q(SPDX)}, 1) <> '' then 'SPDX:' || coalesce({a_map(identifiers())}[replace(regexp_extract(x, {q(SPDX)}, 1), ' ', '-')], replace(regexp_extract(x, {q(SPDX)}, 1), ' ', '-'))
       else coalesce({a_map(known)}[x], 'UNDER:' || {a_map(names)}[regexp_extract(x, {q(STATEMENT)}, 1)]) end"""
     steps, rest = [], "r0"
     for i, (_, run) in enumerate(RULES, 1):
@@ -245,7 +257,7 @@ def oracle() -> str:
     return f"""
 with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as l from documents),
 p as (select doc_id, case when {cue('l')} then list_transform(string_split({cut}, chr(1)), lambda x: {cleaned}) else [] end as parts from d),
-s as (select doc_id, list_filter(parts, lambda x: {cue('x')} or starts_with(x, 'you may') or starts_with(x, 'if a copy') or starts_with(x, 'spdx') or starts_with(x, 'unauthorized') or regexp_matches(x, {q(STATEMENT)})) as s from p),
+s as (select doc_id, list_filter(parts, lambda x: {cue('x')}) as s from p),
 k as (select doc_id, len(s)::bigint as n_cued, list_filter(list_transform(s, lambda x: {identify_sql}), lambda x: x is not null) as ids from s),
 t as (select *, list_filter(ids, lambda x: x <> 'COPYRIGHT') as told, ',' || coalesce(array_to_string(list_filter(ids, lambda x: x <> 'COPYRIGHT'), ',,'), '') || ',' as r0 from k),
 m as (select *, {', '.join(steps)} from t),
