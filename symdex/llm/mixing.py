@@ -182,13 +182,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     their source's target go.
     """
     keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    quota = mix(keyed, with_shards=False, carry=["__row"]).where("taken > 0").select("__row", "size", "taken")
+    quota = mix(keyed, with_shards=False, carry=["__row"]).where("taken > 0").select("__row", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
     joined = keyed.join(quota, "__row")
-    copy = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("__copy")
+    copy = F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))).alias("__copy")
     rows = joined.select("*", copy)
-    left = F.least(F.col("size"), F.col("taken") - (F.col("__copy") - 1) * F.col("size"))
+    left = F.least(F.col("__size"), F.col("__taken") - (F.col("__copy") - 1) * F.col("__size"))
     tokens = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.when(left < F.col("size"), F.array_join(F.slice(tokens, F.lit(1), left.cast("int")), "")).otherwise(F.col("text"))
+    cut = F.when(left < F.col("__size"), F.array_join(F.slice(tokens, F.lit(1), left.cast("int")), "")).otherwise(F.col("text"))
     return rows.withColumn("text", cut).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -75,8 +75,9 @@ def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents with shard and slot."""
-    return number(assign(docs, "doc_id"), "shard", "doc_id", ["n_chars"]).select(*docs.columns, "shard", "slot")
+    """Pipeline stage: the documents with shard and slot, in place of columns of these names."""
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    return number(assign(docs.select(*kept), "doc_id"), "shard", "doc_id", ["n_chars"]).select(*kept, "shard", "slot")
 
 
 _BIDS = """
