@@ -13,6 +13,7 @@ block, which yields counts and no pairs, so a group of any size costs rows in pr
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -231,6 +232,8 @@ def descend(nodes: DataFrame, threshold: float = THRESHOLD, longest: int = LIST,
         if recall >= least_recall:
             break
         most *= 2
+    else:
+        warnings.warn(f"the audit found {recall:.3f} of the links after {ROUNDS[1]} rounds", stacklevel=2)
     return joined, recall
 
 

@@ -149,6 +149,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components haven't settled in {rounds} rounds")
     # at the fixed point every edge leads to the least node of its component
     leaf = cur.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     return leaf.unionByName(leaf.select(F.col("component").alias("node"), "component").distinct())
