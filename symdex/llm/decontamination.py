@@ -26,8 +26,8 @@ from symdex.llm.shared import bound_batches, materialize, table, text_blocks
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 WINDOW = 8
 LEAST_ITEMS = 2
-#: Bytes of test text that one search takes to the executors; a larger test set is searched in several passes.
-BLOCK_BYTES = 16_000_000
+#: Bytes of test text that one search takes to the executors (their windows take some 100 MB there); a larger test set is searched in several passes.
+BLOCK_BYTES = 2_000_000
 #: Candidate positions looked at together.
 CANDIDATES = 2_000_000
 
@@ -155,8 +155,8 @@ def search(index: DataFrame, items: list[tuple[object, str | None]], window: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                seg = Segment(row)
+            for at in range(batch.num_rows):  # one segment in memory at a time
+                seg = Segment({name: batch.column(name)[at].as_py() for name in batch.schema.names})
                 edge = np.zeros(len(seg.term_at) + 1, np.int32)
                 found: list[set[str]] = [set() for _ in seg.ids]
                 for n, (windows, owners) in tests.value.items():
@@ -214,7 +214,9 @@ def contaminated(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: s
 
 def merge_passes(index: DataFrame, test_blocks: Iterator[list[tuple[object, str | None]]]) -> DataFrame:
     """The union of several searches: documents keep their place (segment, row), by which the passes are joined."""
-    keyed = materialize(index.withColumn("segment", F.monotonically_increasing_id()), "segments")
+    at = F.monotonically_increasing_id()
+    dense = F.shiftleft(F.shiftright(at, 33), 20) + at.bitwiseAND(F.lit((1 << 20) - 1))  # leaves 16 bits for the place in a segment
+    keyed = materialize(index.withColumn("segment", dense), "segments")
 
     def placed(items: list[tuple[object, str | None]]) -> DataFrame:
         one = keyed.select(F.expr("transform(doc_ids, (x, i) -> segment * 65536 + i)").alias("doc_ids"), "starts", "terms", "offsets", "positions")

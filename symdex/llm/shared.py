@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 BLANK = r"[^\x20\x09-\x0D]+"
 #: Rows an Arrow batch holds at most while whole texts travel to Python.
 TEXT_BATCH_ROWS = 2000
+#: Bytes after which an Arrow batch ends; a larger row travels alone.
+TEXT_BATCH_BYTES = 16_000_000
 #: Characters of text that a Python worker takes apart at a time.
 TEXT_BLOCK_CHARS = 4_000_000
 
@@ -57,11 +60,13 @@ def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Keep Arrow batches of whole texts small; a lower setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def bound_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS, size: int = TEXT_BATCH_BYTES) -> None:
+    """Keep Arrow batches of whole texts small, in rows and bytes; lower settings of the session stay."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(re.match(r"-?\d+", spark.conf.get(key))[0])
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def ascii_lower(c: Column) -> Column:
