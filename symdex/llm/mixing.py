@@ -68,27 +68,26 @@ def split_quotas(quotas: DataFrame, n_shards: int = N_SHARDS, seed: int = 0) ->
     zero = F.lit(0).cast("long")
     total = F.aggregate("quotas", zero, lambda a, x: a + x)
     nodes = quotas.select(F.lit(0).alias("lo"), F.lit(n_shards).alias("hi"), total.alias("all"), "quotas")
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    cut = lambda c: F.floor(F.col("all") * c / F.lit(n_shards)).cast("long")
+    start = F.struct(total.alias("total"), (cut(F.col("mid")) - cut(F.col("lo"))).alias("draws"), F.array().cast("array<bigint>").alias("left"))
+
+    def draw(acc: Column, n: Column) -> Column:
+        seedling = F.xxhash64(F.lit(seed), F.col("lo"), F.col("hi"), F.size(acc["left"]))
+        u = (F.shiftrightunsigned(seedling, 12).cast("double") + 0.5) / F.lit(float(1 << 52))
+        x = hypergeometric(u, acc["total"], n, acc["draws"])
+        # the quantile is worked out once, in an array of one, and used three times
+        return F.element_at(F.transform(F.array(x), lambda v: F.struct((acc["total"] - n).alias("total"), (acc["draws"] - v).alias("draws"), F.concat(acc["left"], F.array(v)).alias("left"))), 1)
+
+    inner = F.col("hi") - F.col("lo") > 1
+    split = F.when(inner, F.aggregate("quotas", start, draw, lambda acc: acc["left"]))
+    two = F.array(
+        F.struct("lo", F.col("mid").alias("hi"), "all", F.col("left").alias("quotas")),
+        F.struct(F.col("mid").alias("lo"), "hi", "all", F.zip_with("quotas", "left", lambda a, b: a - b).alias("quotas")),
+    )
+    children = F.explode(F.when(inner, two).otherwise(F.array(F.struct("lo", "hi", "all", "quotas")))).alias("n")
     for _ in range(max(0, math.ceil(math.log2(n_shards)))):
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        nodes = nodes.withColumn("mid", mid)
-        cut = lambda c: F.floor(F.col("all") * c / F.lit(n_shards)).cast("long")
-        start = F.struct(F.aggregate("quotas", zero, lambda a, x: a + x).alias("total"), (cut(F.col("mid")) - cut(F.col("lo"))).alias("draws"), F.array().cast("array<bigint>").alias("left"))
-
-        def draw(acc: Column, n: Column) -> Column:
-            seedling = F.xxhash64(F.lit(seed), F.col("lo"), F.col("hi"), F.size(acc["left"]))
-            u = (F.shiftrightunsigned(seedling, 12).cast("double") + 0.5) / F.lit(float(1 << 52))
-            x = hypergeometric(u, acc["total"], n, acc["draws"])
-            # the quantile is worked out once, in an array of one, and used three times
-            return F.element_at(F.transform(F.array(x), lambda v: F.struct((acc["total"] - n).alias("total"), (acc["draws"] - v).alias("draws"), F.concat(acc["left"], F.array(v)).alias("left"))), 1)
-
-        split = F.when(F.col("hi") - F.col("lo") > 1, F.aggregate("quotas", start, draw, lambda acc: acc["left"]))
-        nodes = nodes.withColumn("left", split)
-        leaf = F.array(F.struct("lo", "hi", "all", "quotas"))
-        two = F.array(
-            F.struct("lo", F.col("mid").alias("hi"), "all", F.col("left").alias("quotas")),
-            F.struct(F.col("mid").alias("lo"), "hi", "all", F.zip_with("quotas", "left", lambda a, b: a - b).alias("quotas")),
-        )
-        nodes = nodes.select(F.explode(F.when(F.col("hi") - F.col("lo") > 1, two).otherwise(leaf)).alias("n")).select("n.*")
+        nodes = nodes.withColumn("mid", mid).withColumn("left", split).select(children).select("n.*")
     return nodes.select(F.col("lo").alias("shard"), "quotas")
 
 
