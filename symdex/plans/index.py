@@ -51,9 +51,12 @@ class Indexer:
             return listing(self.spark, self.root)
         return corpus(self.spark, self.root).select("file_path", "file_mtime", "file_size")
 
-    def classified(self, files: DataFrame) -> DataFrame:
-        """`files` with content, content_hash and skip_reason."""
-        found = with_content(self.spark, self.root, files)
+    def classified(self, files: DataFrame | None = None) -> DataFrame:
+        """`files` with content, content_hash and skip_reason; without `files` all of the corpus."""
+        if files is None:
+            found = with_content(self.spark, self.root, self.listed()) if self.is_local() else corpus(self.spark, self.root)
+        else:
+            found = with_content(self.spark, self.root, files)
         return found.withColumns({"content_hash": content_hash(F.col("content")), "skip_reason": skip_reason(F.col("file_path"), F.col("content"))})
 
     # ---- writing
@@ -113,7 +116,7 @@ class Indexer:
             old = self.store.manifest() or Manifest()
             m = Manifest(version=old.version, caches=list(old.caches), next_id=old.next_id)
             self.progress("discover", 0, 0, "")
-            files = self.classified(self.listed())
+            files = self.classified()
             staged = self.store.save(files.select(*schema.TRACKING.fieldNames()[:4], F.col("skip_reason").isNotNull().alias("skipped"), "skip_reason"), folder := self.store.new_folder("tracking"))
             m.tracking = folder
             counts = staged.agg(F.count("*").alias("n"), F.count_if("skipped").alias("s")).first()

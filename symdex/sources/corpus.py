@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from pathlib import Path
 from urllib.parse import unquote, urlparse
@@ -14,6 +15,12 @@ from symdex.functions import names as N
 from symdex.functions.paths import content_shape, forward, has_indexed_size, is_indexed_name, prune
 
 
+#: Files that are opened by name, and files whose names (about 100 bytes each) are broadcast, at most.
+OPENED_FILES, BROADCAST_FILES = 2_000, 300_000
+#: Characters that a path pattern would read as its own.
+GLOB = r"[\[\]{}*?\\]"
+
+
 class UnsafeRoot(ValueError):
     """A folder that must not be indexed as a whole."""
 
@@ -72,21 +79,28 @@ def relative(path, root: str):
     return F.when(F.startswith(plain, F.lit(base)), F.substring(plain, F.lit(len(base) + 1), F.length(plain))).otherwise(forward(plain))
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """All files below a folder of any store: file_path, file_mtime, file_size, content (schema FILE).
+def scan(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """All files below a folder of any store, or only those of `paths`: file_path, file_mtime, file_size, content (schema FILE).
 
-    The reader reads bytes only if `content` is used, and size bounds reach it as filters.
+    The reader opens files only if `content` is used.
     """
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(has_indexed_size(F.col("length")))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
+    df = read.load(root) if paths is None else read.load([f"{root.rstrip('/')}/{re.sub(GLOB, _escaped, p)}" for p in paths])
     local = unquote(urlparse(root).path) if "://" in root or root.startswith("file:") else root
-    return df.select(relative(F.col("path"), local).alias("file_path"), F.unix_micros("modificationTime").cast("double").__truediv__(1e6).alias("file_mtime"), F.col("length").alias("file_size"), "content")
+    return df.select(relative(F.col("path"), local).alias("file_path"), (F.unix_micros("modificationTime") / 1e6).alias("file_mtime"), F.col("length").alias("file_size"), "content")
+
+
+def _escaped(m: re.Match) -> str:
+    return "\\" + m[0]
 
 
 def corpus(spark: SparkSession, root: str) -> DataFrame:
-    """The files that are worth looking at: a scan by name, size and pruned folders."""
-    found = scan(spark, root)
-    keep = prune(found.select("file_path").where(is_indexed_name(F.col("file_path"))))
-    return found.join(keep, "file_path", "left_semi")
+    """The files that are worth looking at, with their bytes: a scan by name, size and pruned folders.
+
+    Rules are filters of the scan; only the files below folders that are told by their shape, a few
+    if any, meet it by a join.
+    """
+    return prune(scan(spark, root)).where(is_indexed_name(F.col("file_path")) & has_indexed_size(F.col("file_size")))
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -95,9 +109,21 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 
 
 def with_content(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
-    """The listed files with their bytes: only theirs are read."""
+    """The listed files with their bytes.
+
+    A few files are opened by their paths and no others are read. Of more, all files below the root
+    are scanned; up to BROADCAST_FILES names go to the executors, so the bytes stay where they
+    are read, and beyond that they are shuffled once.
+    """
+    few = files.select("file_path").limit(OPENED_FILES + 1).collect()
+    if len(few) <= OPENED_FILES:
+        if not few:
+            return files.withColumn("content", F.lit(None).cast("binary"))
+        found = scan(spark, root, sorted(r[0] for r in few)).select("file_path", "content")
+        return found.join(F.broadcast(files), "file_path").select(*files.columns, "content")
     found = scan(spark, root).select("file_path", "content")
-    return files.join(found, "file_path", "left")
+    small = files.select("file_path").limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
+    return found.join(F.broadcast(files) if small else files, "file_path").select(*files.columns, "content")
 
 
 def with_text(files: DataFrame) -> DataFrame:
