@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symdex.llm.shared import bound_batches, materialize, table, text_blocks
+from symdex.llm.shared import bound_batches, materialize, resting_on, settled, table, text_blocks
 
 #: Bytes of words stay, A-Z in lower case; all other ASCII parts words. Bytes from 0x80 on belong to letters beyond ASCII.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -209,7 +209,8 @@ def contaminated(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: s
     spans = F.col("spans")
     n_hit = F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
     sha = F.sha2(F.array_join("items", ","), 256)
-    return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), (F.size("items") >= least).alias("contaminated"))
+    out = hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), (F.size("items") >= least).alias("contaminated"))
+    return resting_on(out, index)
 
 
 def merge_passes(index: DataFrame, test_blocks: Iterator[list[tuple[object, str | None]]]) -> DataFrame:
@@ -244,7 +245,8 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without those that hold windows of two or more benchmark items."""
     numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    bad = contaminated(numbered, table(spark, sf_dir, "benchmark"), key="__row").where("contaminated").select(F.col("doc_id").alias("__row"))
+    found = contaminated(numbered, table(spark, sf_dir, "benchmark"), key="__row")
+    bad = settled(resting_on(found.where("contaminated").select(F.col("doc_id").alias("__row")), found), "bad")
     return numbered.join(bad, "__row", "left_anti").select(*docs.columns)
 
 

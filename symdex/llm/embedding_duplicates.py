@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from symdex.llm.shared import SALTS, components, materialize, table
+from symdex.llm.shared import SALTS, components, materialize, settled, table
 
 THRESHOLD = 0.93
 #: Length of a neighbour list at first, and of one that has been saturated again and again until the audit asks for more.
@@ -225,7 +225,7 @@ def descend(nodes: DataFrame, threshold: float = THRESHOLD, longest: int = LIST,
         if turn < ROUNDS[0]:
             continue
         edges = materialize(graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")), "links")
-        joined = materialize(components(edges), "components")
+        joined = settled(components(edges), "components")
         name = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
         met = true.join(name("a"), "a").join(name("b"), "b").where("ca = cb").count()
         recall = met / wanted if wanted else 1.0

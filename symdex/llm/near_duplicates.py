@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symdex.llm.shared import WordHashes, bound_batches, components, materialize, mix64, table, text_blocks
+from symdex.llm.shared import WordHashes, bound_batches, components, drop, materialize, mix64, resting_on, settled, table, text_blocks
 
 SHINGLE = 5
 BINS = 256
@@ -233,7 +233,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     classes = materialize(classes.where("cid is not null"), "classes")
     buckets = classes.select("cid", "f1", "n", F.explode("bands").alias("key"))
     centres = buckets.groupBy("key").agg(F.min("cid").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    multi = materialize(buckets.join(materialize(centres, "centres"), "key"), "multi")
+    centres = materialize(centres, "centres")
+    multi = materialize(buckets.join(centres, "key"), "multi")
+    drop(centres)
 
     ids = multi.select(F.col("cid"), "f1").distinct()
     texts = materialize(docs.where("doc_id is not null").withColumnRenamed("doc_id", "cid").join(ids, "cid"), "texts")
@@ -241,10 +243,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     pairs = multi.where("cid <> centre").select(F.col("centre").alias("u"), F.col("cid").alias("v"), F.col("f1").alias("fv"), F.col("n").alias("nv")).distinct()
     pairs = pairs.join(own, "u").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")).select("u", "fu", "v", "fv")
     stars = materialize(verify(pairs, texts, percent, shingle), "stars")
-    found = materialize(components(stars), "components")
+    found = settled(components(stars), "components")
 
     labelled = multi.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
     labelled = materialize(labelled.select("key", "cid", "f1", "comp"), "labelled")
+    drop(multi, stars)
     torn = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y")
     torn = materialize(torn.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "torn")
     rest = labelled.join(torn, "key").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
@@ -252,20 +255,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     more = materialize(connect_buckets(rest, percent, shingle), "more")
+    drop(texts, labelled, torn)
     if more.limit(1).count():
         # components of components: the nodes are those of the first round
         name = lambda c: found.withColumnRenamed("node", c).withColumnRenamed("component", f"c{c}")
         between = more.join(name("a"), "a", "left").join(name("b"), "b", "left")
         between = materialize(between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct(), "between")
-        upper = materialize(components(between), "upper")
+        upper = settled(components(between), "upper")
         step = found.join(upper.withColumnRenamed("component", "top").withColumnRenamed("node", "component"), "component", "left")
         found = step.select("node", F.coalesce("top", "component").alias("component")).unionByName(upper.join(found, "node", "left_anti"))
     named = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("f1", "f2", F.coalesce("component", "cid").alias("component"))
     named = materialize(named, "named")
+    drop(classes, more)
     out = signed.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return resting_on(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), signed, named)
 
 
 def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,8 +281,10 @@ def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the document of the least doc_id stays (null last; of repeated rows, one)."""
     numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    groups = near_duplicates(numbered, key="__row").where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id")
+    found = near_duplicates(numbered, key="__row")
+    groups = found.where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id")
     ranked = materialize(groups.join(numbered.select("__row", "doc_id"), "__row").select("component_id", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row").alias("x")), "ranked")
+    drop(found)
     first = ranked.groupBy("component_id").agg(F.min("x").alias("x")).select("x.__row")
     gone = ranked.select("x.__row").join(first, "__row", "left_anti")
     return numbered.join(gone, "__row", "left_anti").select(*docs.columns)

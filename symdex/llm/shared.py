@@ -57,7 +57,26 @@ def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{uuid.uuid4().hex}/{label}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.work_paths = [path]
+    return out
+
+
+def resting_on(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """`df`, noted to need these work tables until it has been read for good."""
+    df.work_paths = [p for t in (df, *tables) for p in getattr(t, "work_paths", [])]
+    return df
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete work tables (or those that a frame rests on) that nothing reads any more, so that disks hold no spent ones."""
+    for t in tables:
+        for path in getattr(t, "work_paths", []):
+            spark = t.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if t is not None:
+            t.work_paths = []
 
 
 def bound_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS, size: int = TEXT_BATCH_BYTES) -> None:
@@ -146,10 +165,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if not seen[0]:
             break
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        spent = cur
         large = materialize(both.join(hub(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
         least = hub(large)
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")).where("a <> b"))
         cur = materialize(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small")
+        drop(spent, large)
         now = mark(cur)
         if now == seen:
             break
@@ -158,7 +179,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         raise RuntimeError(f"components haven't settled in {rounds} rounds")
     # at the fixed point every edge leads to the least node of its component
     leaf = cur.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
-    return leaf.unionByName(leaf.select(F.col("component").alias("node"), "component").distinct())
+    return resting_on(leaf.unionByName(leaf.select(F.col("component").alias("node"), "component").distinct()), cur)
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """`df` written; the work tables that it rested on are dropped."""
+    out = materialize(df, label)
+    drop(df)
+    return out
 
 
 #: Parts over which the rows of one group are dealt.

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symdex.llm.near_duplicates import shingle_sets
-from symdex.llm.shared import bound_batches, materialize, mix64, table, text_blocks
+from symdex.llm.shared import bound_batches, drop, materialize, mix64, table, text_blocks
 
 BITS = 18
 GRAMS = (3, 4, 5, 6)
@@ -173,6 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(f, pa.binary())], names=["k", "f"])
 
     got = once.select("k", "f").mapInArrow(telling, "k string, f binary").toArrow()
+    drop(parts)
     rows = sorted((k, f) for k, f in zip(got["k"].to_pylist(), got["f"].to_pylist(), strict=True) if k in keep)
     return fit([np.frombuffer(f, np.int32) for _, f in rows], np.array([keep[k] for k, _ in rows], float), ratio)
 
