@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from symdex.llm import decontamination, mixing, near_duplicates, sharding, toxicity
-from symdex.llm.shared import materialize, table
+from symdex.llm.shared import drop, materialize, table
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -27,5 +27,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole `documents`: its columns, shard and slot."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        spent, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        drop(spent)
     return docs
