@@ -30,6 +30,8 @@ BINS = 256
 ROWS = 5
 #: Chance at most that a pair just at the threshold shares no bucket.
 MISS = 1e-6
+#: Characters of text whose shingles are in memory at a time.
+BLOCK_CHARS = 1_000_000
 #: Documents of a bucket that are compared in one piece.
 BLOCK = 256
 #: From so many documents on, a comparison of bin values goes before the exact one.
@@ -114,7 +116,7 @@ def signatures(docs: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFra
         salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo, hi in text_blocks(texts):
+            for lo, hi in text_blocks(texts, BLOCK_CHARS):
                 sets = shingle_sets(texts[lo:hi], shingle, cache)
                 live = [i for i, h in enumerate(sets) if len(h)]
                 marks = np.zeros((len(sets), 2), np.int64)

@@ -128,7 +128,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Words (bytes) to 64-bit hashes; forgets all at a fixed size, so that memory is bounded."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

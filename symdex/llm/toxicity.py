@@ -32,6 +32,8 @@ SAMPLE_CHARS = 50_000
 SAMPLE_BLOCK = 1_000_000
 #: Standard errors by which a feature's share must differ between the labels.
 CLEAR = 4.0
+#: Characters of text that are scored at a time; each takes about 40 bytes while it is.
+SCORE_BLOCK = 1_000_000
 THRESHOLD = 0.7
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _GAP = b" " * max(GRAMS)
@@ -192,7 +194,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
         own_model = Model(*shared.value)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            for lo, hi in text_blocks(texts):
+            for lo, hi in text_blocks(texts, SCORE_BLOCK):
                 own = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(own.column(i) for i in keep), pa.array(own_model.scores(texts[lo:hi]))], names=names)
 
