@@ -5,7 +5,8 @@ stand together in the order of random hyperplane codes; each round joins neighbo
 the members of a node's list, and of the lists that hold it, are compared with each other, and
 what beats the end of a list enters it. A list whose every entry is a link is saturated and
 becomes twice as long. An audit compares a fixed sample with all vectors in blocks; rounds go on
-until it finds the target recall.
+until it finds the target recall. Whatever the lists keep, every pair that is measured at the threshold
+counts: a run or a round hands on a spanning forest of its links.
 
 Edges at the threshold make components. Inside a component every pair is compared, block against
 block, which yields counts and no pairs, so a group of any size costs rows in proportion.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from symdex.llm.shared import SALTS, components, materialize, settled, table
+from symdex.llm.shared import SALTS, components, drop, materialize, settled, table
 
 THRESHOLD = 0.93
 #: Length of a neighbour list at first, and of one that has been saturated again and again until the audit asks for more.
@@ -88,16 +89,53 @@ def vectors_of(t: pa.Table, i: int) -> np.ndarray:
     return unit(matrix(whole, len(whole[0])))
 
 
-LISTS = "u bigint, v bigint, sim double"
+def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, j) that connect what the links of a symmetric boolean matrix connect, fewer than it has rows."""
+    i, j = [], []
+    left = near.any(axis=1)
+    while left.any():
+        edge = np.flatnonzero(left)[:1]
+        left[edge] = False
+        while len(edge):
+            reach = near[edge]
+            new = np.flatnonzero(reach.any(axis=0) & left)
+            i.append(edge[reach[:, new].argmax(axis=0)] if len(new) else new)
+            j.append(new)
+            left[new] = False
+            edge = new
+    return (np.concatenate(i), np.concatenate(j)) if i else (np.array([], np.int64),) * 2
 
 
-def emit(u: list, v: list, sim: list) -> pa.RecordBatch:
-    join = lambda x, t: np.concatenate(x) if x else np.array([], t)
-    return pa.RecordBatch.from_arrays([pa.array(join(u, np.int64)), pa.array(join(v, np.int64)), pa.array(join(sim, np.float64))], names=["u", "v", "sim"])
+#: What is measured: candidates for lists, and links that count whether or not lists keep them.
+MEASURED = "u bigint, v bigint, sim double, cap int, link boolean"
 
 
-def first_lists(nodes: DataFrame, longest: int = LIST) -> DataFrame:
-    """Rows (u, v, sim): the best neighbours of each node in its runs of all orders."""
+class Measured:
+    """Rows of MEASURED, handed on in batches."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+        self.rows = 0
+
+    def add(self, u: np.ndarray, v: np.ndarray, sim: np.ndarray, cap, link: bool) -> None:
+        self.parts.append((u, v, sim, np.broadcast_to(np.asarray(cap, np.int32), len(u)), np.full(len(u), link)))
+        self.rows += len(u)
+
+    def links(self, node: np.ndarray, s: np.ndarray, threshold: float) -> None:
+        near = s >= threshold
+        np.fill_diagonal(near, False)
+        i, j = forest(near)
+        self.add(node[i], node[j], s[i, j], 0, True)
+
+    def out(self) -> pa.RecordBatch:
+        kinds = (np.int64, np.int64, np.float64, np.int32, bool)
+        made = pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array([], k), *(p[c] for p in self.parts)])) for c, k in enumerate(kinds)], names=["u", "v", "sim", "cap", "link"])
+        self.__init__()
+        return made
+
+
+def first_lists(nodes: DataFrame, longest: int = LIST, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of MEASURED: the best neighbours of each node in its runs of all orders, and connecting links of the runs."""
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -115,7 +153,7 @@ def first_lists(nodes: DataFrame, longest: int = LIST) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, k, np.int32)), *(batch.column(i) for i in (1, 2)), pa.array(out[k]), batch.column(0), batch.column(3)], names=["k", "label", "dim", "code", "node", "vec"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, v, sim, n = [], [], [], 0
+        found = Measured()
         for t in groups(batches, 3, RUN):
             if t.num_rows < 2:
                 continue
@@ -124,20 +162,17 @@ def first_lists(nodes: DataFrame, longest: int = LIST) -> DataFrame:
             np.fill_diagonal(s, -2)
             k = min(longest, len(node) - 1)
             best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            u.append(np.repeat(node, k))
-            v.append(node[best].ravel())
-            sim.append(np.take_along_axis(s, best, 1).ravel())
-            n += len(u[-1])
-            if n > 100_000:
-                yield emit(u, v, sim)
-                u, v, sim, n = [], [], [], 0
-        yield emit(u, v, sim)
+            found.add(np.repeat(node, k), node[best].ravel(), np.take_along_axis(s, best, 1).ravel(), longest, False)
+            found.links(node, s, threshold)
+            if found.rows > 100_000:
+                yield found.out()
+        yield found.out()
 
     kind = nodes.schema["vec"].dataType.simpleString()
     label = nodes.schema["label"].dataType.simpleString()
     coded = nodes.select("node", "label", "dim", "vec").mapInArrow(codes, f"k int, label {label}, dim int, code bigint, node bigint, vec {kind}")
     order = ["k", "label", "dim", "code"]
-    return coded.repartitionByRange(*order).sortWithinPartitions(*order, "node").mapInArrow(runs, LISTS)
+    return coded.repartitionByRange(*order).sortWithinPartitions(*order, "node").mapInArrow(runs, MEASURED)
 
 
 def top(lists: DataFrame) -> DataFrame:
@@ -147,8 +182,8 @@ def top(lists: DataFrame) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= F.col("cap")).drop("rank")
 
 
-def refine(graph: DataFrame, nodes: DataFrame, seed: int, sample: int = SAMPLE) -> DataFrame:
-    """One round: rows (u, v, sim, cap, fresh) that may enter lists, from neighbours of neighbours."""
+def refine(graph: DataFrame, nodes: DataFrame, seed: int, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """One round: rows of MEASURED that may enter lists, from neighbours of neighbours, and connecting links among these."""
     both = graph.select(F.col("u").alias("pivot"), F.col("v").alias("m"), "fresh").unionByName(graph.select(F.col("v").alias("pivot"), F.col("u").alias("m"), "fresh"))
     both = both.groupBy("pivot", "m").agg(F.max("fresh").alias("fresh"))
     by = W.partitionBy("pivot").orderBy(F.col("fresh").desc(), F.xxhash64("m", F.lit(seed)))
@@ -158,15 +193,7 @@ def refine(graph: DataFrame, nodes: DataFrame, seed: int, sample: int = SAMPLE)
     rows = members.join(own, "m").select("pivot", "m", "fresh", "end", "cap", "vec")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = [[], [], [], []]
-
-        def out() -> pa.RecordBatch:
-            join = lambda x, t: np.concatenate(x) if x else np.array([], t)
-            made = pa.RecordBatch.from_arrays([pa.array(join(c, k)) for c, k in zip(parts, (np.int64, np.int64, np.float64, np.int32), strict=True)], names=["u", "v", "sim", "cap"])
-            for c in parts:
-                c.clear()
-            return made
-
+        found = Measured()
         for t in groups(batches, 1):
             if t.num_rows < 2:
                 continue
@@ -175,14 +202,13 @@ def refine(graph: DataFrame, nodes: DataFrame, seed: int, sample: int = SAMPLE)
             open_ = (fresh[:, None] | fresh[None, :]) & (s > end[:, None])
             np.fill_diagonal(open_, False)
             i, j = np.nonzero(open_)
-            for c, add in zip(parts, (m[i], m[j], s[i, j], cap[i].astype(np.int32)), strict=True):
-                c.append(add)
-            if sum(len(c) for c in parts[0]) > 100_000:
-                yield out()
-        yield out()
+            found.add(m[i], m[j], s[i, j], cap[i], False)
+            found.links(m, s, threshold)
+            if found.rows > 100_000:
+                yield found.out()
+        yield found.out()
 
-    found = rows.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(compare, LISTS + ", cap int")
-    return found.withColumn("fresh", F.lit(True))
+    return rows.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(compare, MEASURED)
 
 
 def audit(nodes: DataFrame, sample: int = AUDIT, threshold: float = THRESHOLD) -> DataFrame:
@@ -209,9 +235,13 @@ def audit(nodes: DataFrame, sample: int = AUDIT, threshold: float = THRESHOLD) -
 
 
 def descend(nodes: DataFrame, threshold: float = THRESHOLD, longest: int = LIST, least_recall: float = RECALL) -> tuple[DataFrame, float]:
-    """Components (node, component) of the refined graph's threshold edges, and the share of the audit's links whose ends they connect."""
-    start = first_lists(nodes, longest).withColumns({"cap": F.lit(longest), "fresh": F.lit(True)})
-    graph = materialize(top(start), "lists")
+    """Components (node, component) of all links that were measured, and the share of the audit's links whose ends they connect."""
+    entries = lambda df: df.where(~F.col("link")).drop("link").withColumn("fresh", F.lit(True))
+    ends = lambda df: df.where("link").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    start = materialize(first_lists(nodes, longest, threshold), "measured")
+    links = materialize(ends(start).distinct(), "links")
+    graph = materialize(top(entries(start)), "lists")
+    drop(start)
     true = materialize(audit(nodes, threshold=threshold), "audit")
     wanted = true.count()
     most = LONGEST
@@ -221,11 +251,14 @@ def descend(nodes: DataFrame, threshold: float = THRESHOLD, longest: int = LIST,
         caps = size.select("u", F.when(full, F.least(F.col("c") * 2, F.lit(most))).otherwise(F.col("c")).cast("int").alias("cap"))
         graph = graph.drop("cap").join(caps, "u").select("u", "v", "sim", "cap", "fresh")
         graph = materialize(graph, "capped")
-        graph = materialize(top(graph.withColumn("fresh", F.lit(False)).unionByName(refine(graph, nodes, turn))), "lists")
+        found = materialize(refine(graph, nodes, turn, threshold=threshold), "measured")
+        spent = links
+        links = materialize(links.unionByName(ends(found)).distinct(), "links")
+        graph = materialize(top(graph.withColumn("fresh", F.lit(False)).unionByName(entries(found))), "lists")
+        drop(found, spent)
         if turn < ROUNDS[0]:
             continue
-        edges = materialize(graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")), "links")
-        joined = settled(components(edges), "components")
+        joined = settled(components(links), "components")
         name = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
         met = true.join(name("a"), "a").join(name("b"), "b").where("ca = cb").count()
         recall = met / wanted if wanted else 1.0

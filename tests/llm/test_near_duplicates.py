@@ -130,6 +130,21 @@ def test_vectors_against_all_pairs(spark, folder, monkeypatch):
     assert (got[None]["n_links"], got[None]["component_id"], got[None]["kept"]) == (0, None, True)
 
 
+def test_a_measured_link_between_two_dense_groups_counts(spark, folder):
+    """Lists are full of nearer vectors, so the one link between the groups is in none of them."""
+    rng = np.random.default_rng(3)
+    axes = np.linalg.qr(rng.standard_normal((24, 24)))[0]
+    turned = lambda angle: np.cos(angle) * axes[0] + np.sin(angle) * axes[1]
+    around = lambda angle: [turned(angle) + 0.01 * rng.standard_normal(24) for _ in range(50)]
+    group = [*around(0), turned(0.1), turned(0.475), *around(0.575)]
+    rows = [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(group)]
+    x = ed.unit(np.array([r[1] for r in rows], np.float32))
+    near = x @ x.T >= 0.93
+    assert not near[:50, 52:].any() and near[50, 51] and near[:50, :51].all() and near[51:, 51:].all() and near[:51, 51:].sum() < 200
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in QUERIES["op7_embedding_near_duplicates"](spark, folder(embeddings=rows)).collect()}
+    assert got == {i: (int(near[i].sum()) - 1, 0) for i in range(len(rows))}
+
+
 def test_links_of_a_component_are_counted_in_blocks(spark, monkeypatch):
     rows = [(0, i, 1 + i % 2, v) for i, (_, v, _) in enumerate(r for r in vectors(6) if r[2] == 1 and r[1] and len(r[1]) == 24 and None not in r[1] and np.isfinite(r[1]).all())][:120]
     df = spark.createDataFrame(rows, "component long, node long, members long, vec array<float>")
