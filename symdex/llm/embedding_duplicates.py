@@ -8,13 +8,14 @@ becomes twice as long. An audit compares a fixed sample with all vectors in bloc
 until it finds the target recall. Whatever the lists keep, every pair that is measured at the threshold
 counts: a run or a round hands on a spanning forest of its links.
 
-Edges at the threshold make components. Inside a component every pair is compared, block against
+Edges at the threshold make components. The rounds only save work: at the end all pairs of vectors
+of a label that are in different components are compared, tile against tile, and what links joins
+components, so no link is lost, however rare. That takes time with the square of a label. Inside a component every pair is compared, block against
 block, which yields counts and no pairs, so a group of any size costs rows in proportion.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from symdex.llm.shared import SALTS, components, drop, materialize, settled, table
+from symdex.llm.shared import SALTS, bound_batches, components, drop, materialize, settled, table
 
 THRESHOLD = 0.93
 #: Length of a neighbour list at first, and of one that has been saturated again and again until the audit asks for more.
@@ -34,10 +35,12 @@ ORDERS, PLANES, RUN = 6, 32, 128
 SAMPLE = 20
 #: Rounds at least and at most; the audit may end them in between.
 ROUNDS = (1, 12)
-#: Vectors of the audit's sample, and the recall that ends the rounds.
+#: Vectors of the audit's sample, and the recall that ends the rounds (never the comparison after them).
 AUDIT, RECALL = 256, 0.99
 #: Vectors of a component that are compared in one piece.
 BLOCK = 1024
+#: Bytes of vectors in a tile, and rows of one that are multiplied at a time.
+TILE, STRIP = 4_000_000, 256
 SEED = 20240311
 
 
@@ -265,11 +268,60 @@ def descend(nodes: DataFrame, threshold: float = THRESHOLD, longest: int = LIST,
         if recall >= least_recall:
             break
         most *= 2
-    else:
-        warnings.warn(f"the audit found {recall:.3f} of the links after {ROUNDS[1]} rounds", stacklevel=2)
     return joined, recall
 
 
+def across(nodes: DataFrame, joined: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """All links between components as rows (a, b) of their names; a node without a component is its own.
+
+    A label's vectors are dealt over tiles, each one row, and every two tiles meet once, so rows
+    grow with the square of a label's tiles and not of its vectors.
+    """
+    bound_batches(nodes.sparkSession)
+    wide = 4 if nodes.schema["vec"].dataType.elementType.simpleString() == "float" else 8
+    label = nodes.schema["label"].dataType.simpleString()
+    named = nodes.select("node", "label", "dim", "vec").join(joined, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    sizes = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") * F.col("dim") * wide / TILE).cast("int").alias("tiles"))
+    rows = named.join(sizes, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, 3):
+            raw = matrix(t.column(5).combine_chunks(), t.column(1)[0].as_py())
+            yield pa.RecordBatch.from_arrays([*(t.column(i)[:1].combine_chunks() for i in range(4)), pa.array([column(t, 4).astype(np.int64).tobytes()], pa.binary()), pa.array([raw.astype(f"f{wide}").tobytes()], pa.binary())], names=["label", "dim", "tile", "tiles", "c", "x"])
+
+    parts = ["label", "dim", "tile"]
+    packed = rows.select(*parts, "tiles", "c", "vec").repartition(*parts).sortWithinPartitions(*parts).mapInArrow(pack, f"label {label}, dim int, tile int, tiles int, c binary, x binary")
+    packed = materialize(packed, "tiles")
+    pairs = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    pairs = pairs.select("label", "dim", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "c", "x")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, 4):
+            dim = t.column(1)[0].as_py()
+            sides = [(np.frombuffer(t.column(4)[k].as_py(), np.int64), unit(np.frombuffer(t.column(5)[k].as_py(), f"f{wide}").reshape(-1, dim))) for k in range(t.num_rows)]
+            (c, x), (d, y) = sides[0], sides[-1]
+            seen = set()
+            for lo in range(0, len(c), STRIP):
+                here = c[lo : lo + STRIP]
+                i, j = np.nonzero((x[lo : lo + STRIP] @ y.T >= threshold) & (here[:, None] != d))
+                seen.update(zip(np.minimum(here[i], d[j]).tolist(), np.maximum(here[i], d[j]).tolist(), strict=True))
+            a, b = zip(*seen, strict=True) if seen else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    parts = ["label", "dim", "i", "j"]
+    return pairs.repartition(*parts).sortWithinPartitions(*parts).mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def closed(nodes: DataFrame, joined: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Components (node, component) of all links: those of `joined`, merged where any link leads from one to another."""
+    found = materialize(across(nodes, joined, threshold), "across")
+    if found.isEmpty():
+        return joined
+    whole = settled(components(found), "merged").select(F.col("node").alias("c"), F.col("component").alias("into"))
+    named = nodes.select("node").join(joined, "node", "left").withColumn("c", F.coalesce("component", "node")).join(whole, "c", "left")
+    return materialize(named.where("component is not null or into is not null").select("node", F.coalesce("into", "component").alias("component")), "closed")
+
+
 def count_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (node, links): linked vectors of other nodes of its component; members has component, node, members, vec."""
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -313,7 +365,7 @@ def embedding_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embe
     nodes = first.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.sum("members").alias("members"), F.first("label").alias("label"), F.first("vec").alias("vec"), F.collect_set("salt").alias("salts"))
     nodes = nodes.withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("vec")})
     nodes = materialize(nodes, "nodes")
-    joined, _ = descend(nodes, threshold)
+    joined = closed(nodes, descend(nodes, threshold)[0], threshold)
     members = joined.join(nodes.select("node", "id", "members", "vec"), "node")
     least = members.groupBy("component").agg(F.min("id").alias("least"))
     links = count_links(members, threshold)

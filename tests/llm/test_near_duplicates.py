@@ -145,6 +145,23 @@ def test_a_measured_link_between_two_dense_groups_counts(spark, folder):
     assert got == {i: (int(near[i].sum()) - 1, 0) for i in range(len(rows))}
 
 
+def test_rare_links_are_found_whatever_the_rounds_see(spark, folder, monkeypatch):
+    """Pairs among many lone vectors, in one label, with rounds that compare next to nothing."""
+    rng = np.random.default_rng(4)
+    x = ed.unit(rng.standard_normal((400, 24)))
+    x[200:260] = ed.unit(x[:60] + 0.06 * rng.standard_normal((60, 24)))
+    rows = [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(x)]
+    x = ed.unit(np.array([r[1] for r in rows], np.float32))
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    wanted = closure(range(400), np.argwhere(near).tolist())
+    assert near.sum() > 60
+    for name, value in (("RUN", 4), ("ORDERS", 1), ("ROUNDS", (1, 1)), ("AUDIT", 8), ("TILE", 8000), ("STRIP", 50)):
+        monkeypatch.setattr(ed, name, value, raising=False)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in QUERIES["op7_embedding_near_duplicates"](spark, folder(embeddings=rows)).collect()}
+    assert got == {i: (int(near[i].sum()), wanted[i]) for i in range(400)}
+
+
 def test_links_of_a_component_are_counted_in_blocks(spark, monkeypatch):
     rows = [(0, i, 1 + i % 2, v) for i, (_, v, _) in enumerate(r for r in vectors(6) if r[2] == 1 and r[1] and len(r[1]) == 24 and None not in r[1] and np.isfinite(r[1]).all())][:120]
     df = spark.createDataFrame(rows, "component long, node long, members long, vec array<float>")
