@@ -1,12 +1,13 @@
 """Personal data: patterns find the protected entities, corpus statistics find the terms that reveal them.
 
 Base spans (e-mail, IP, card, phone) come from patterns. Each distinct value is a protected entity e
-of information -log2 p(e). A term t near a mention of e reveals log2(p(t,e) / (p(t) p(e))) of it,
-p estimated over all documents. A term that reveals REMOVE of the information is removed, one that
+of information -log2 p(e). A term t of a document that mentions e reveals log2(p(t,e) / (p(t) p(e))) of it,
+p estimated over all documents, each taken whole. A term that reveals REMOVE of the information is removed, one that
 reveals GENERALISE of it is generalised to the shape of its letters.
 
-All of it is DataFrame functions. Terms are taken from a window around each mention, so the pairs
-of a document grow with its mentions and not with their square; no pair of rows ever meets.
+All of it is DataFrame functions. Of the terms of a document only those meet its entities that can
+reveal enough: c <= df_e and a share of GENERALISE bound df_t from above (see `most_of_term`), which
+leaves rare terms alone, so a document's pairs are few though its whole text counts.
 """
 
 from __future__ import annotations
@@ -24,11 +25,9 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
-#: Characters on each side of a mention in which terms are looked for.
-CONTEXT = 64
 #: Letters that a term has at least.
 TERM_LETTERS = 4
-#: Documents in which a term must stand near an entity before it counts as evidence.
+#: Documents in which a term must stand with an entity before it counts as evidence.
 SUPPORT = 2
 #: Shares of an entity's information from which a term is generalised or removed.
 GENERALISE, REMOVE = 0.8, 0.95
@@ -36,7 +35,8 @@ GENERALISE, REMOVE = 0.8, 0.95
 BROADCAST_TERMS = 200_000
 #: Parts over which an (entity, term) group is dealt.
 SALTS = 16
-SPANS = "array<struct<kind:int,s:int,e:int,value:string,before:string,after:string>>"
+TERMS = "array<struct<s:int,e:int,remove:boolean>>"
+SPANS = "array<struct<kind:int,s:int,e:int,value:string>>"
 _TERM = rf"[\p{{L}}\p{{M}}]{{{TERM_LETTERS},}}"
 
 
@@ -62,8 +62,8 @@ def valid(kind: str, match: Column) -> Column:
 def detect(docs: DataFrame, text: str) -> DataFrame:
     """`docs` (without the text) with the number of each kind and the valid base matches `spans`, by kind and start.
 
-    A span has kind (its place in KINDS), s and e (code points, e exclusive), value, and the text
-    beside it. Positions follow from the pieces between matches, so a text is searched a second
+    A span has kind (its place in KINDS), s and e (code points, e exclusive) and value; `body` is
+    the text of a document that has spans. Positions follow from the pieces between matches, so a text is searched a second
     time only where a kind has matches.
     """
     out = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
@@ -72,21 +72,22 @@ def detect(docs: DataFrame, text: str) -> DataFrame:
         found = F.regexp_extract_all("__t", F.lit(pattern), F.lit(0))
         out = out.withColumn(f"__m{k}", found)
         out = out.withColumn(f"__p{k}", F.when(F.size(f"__m{k}") > 0, F.split("__t", pattern, -1)))
-    out = out.drop("__t", text)
+    out = out.drop(text)
     for k, kind in columns:
         out = out.withColumn(f"__s{k}", placed(k, kind, F.col(f"__m{k}"), F.col(f"__p{k}")))
         out = out.drop(f"__m{k}", f"__p{k}").withColumn(f"n_{kind}", F.size(f"__s{k}").cast("long"))
-    return out.withColumn("spans", F.concat(*[F.col(f"__s{k}") for k, _ in columns])).drop(*[f"__s{k}" for k, _ in columns])
+    out = out.withColumn("spans", F.concat(*[F.col(f"__s{k}") for k, _ in columns]))
+    return out.withColumn("body", F.when(F.size("spans") > 0, F.col("__t"))).drop("__t", *[f"__s{k}" for k, _ in columns])
 
 
 def placed(k: int, kind: str, matches: Column, pieces: Column) -> Column:
     """The valid matches of a kind as spans; an empty array where there is none."""
-    zipped = F.transform(matches, lambda x, i: F.struct(x.alias("m"), F.get(pieces, i).alias("g"), F.get(pieces, i + 1).alias("h")))
+    zipped = F.transform(matches, lambda x, i: F.struct(x.alias("m"), F.get(pieces, i).alias("g")))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["g"])
         e = s + F.length(x["m"])
-        row = F.struct(F.lit(k).alias("kind"), s.alias("s"), e.alias("e"), x["m"].alias("value"), F.right(x["g"], F.lit(CONTEXT + 1)).alias("before"), F.substring(x["h"], 1, CONTEXT + 1).alias("after"))
+        row = F.struct(F.lit(k).alias("kind"), s.alias("s"), e.alias("e"), x["m"].alias("value"))
         return F.struct(e.alias("at"), F.when(valid(kind, x["m"]), F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
@@ -99,34 +100,56 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"].cast("string"), F.lit(":"), value)
 
 
-def terms_in(window: Column, base: Column) -> Column:
-    """array<struct<term, s, e>> of the whole terms in a context that begins at `base`, terms in lower case."""
-    found = F.regexp_extract_all(window, F.lit(_TERM), F.lit(0))
-    gaps = F.split(window, _TERM, -1)
-    zipped = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
-    start = F.struct(base.alias("at"), F.array().cast("array<struct<term:string,s:int,e:int>>").alias("out"))
+def distinct_terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
+
+
+def terms_in(text: Column, told: Column) -> Column:
+    """array<struct<s, e, remove>> of all places of the terms (in lower case) that the map `told` leads to remove or not."""
+    found = F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
+    zipped = F.arrays_zip(found.alias("m"), F.slice(F.split(text, _TERM, -1), F.lit(1), F.size(found)).alias("g"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(TERMS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["g"])
         e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lower(x["m"]).alias("term"), s.alias("s"), e.alias("e")))).alias("out"))
+        remove = F.try_element_at(told, F.lower(x["m"]))
+        more = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), remove.alias("remove"))))
+        return F.struct(e.alias("at"), F.when(remove.isNotNull(), more).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(zipped, start, step, lambda acc: acc["out"])
 
 
+def entities(found: DataFrame) -> DataFrame:
+    """Rows (rid, entity), each once."""
+    return found.select("rid", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
+
+
+def most_of_term(df_e: Column, n_docs: int) -> Column:
+    """Documents that a term may have at most and reveal GENERALISE of an entity of df_e documents.
+
+    c n / (df_t df_e) >= (n / df_e) ** GENERALISE with c <= df_e; a little more, for rounding.
+    """
+    return df_e * F.pow(F.lit(float(n_docs)) / df_e, F.lit(1 - GENERALISE)) * (1 + 1e-9)
+
+
 def near_terms(found: DataFrame) -> DataFrame:
-    """Rows (rid, entity, term, s, e): terms within CONTEXT characters of a mention.
+    """Rows (rid, entity, term): entities of SUPPORT documents or more and the terms of the whole texts that mention them.
 
-    A context has one more character than CONTEXT, so a term that the cut may have split is told
-    by touching that character and left out.
+    Left out are terms of so many of these texts that they can't reveal GENERALISE of the entity,
+    and those of fewer than SUPPORT.
     """
-    one = found.select("rid", F.explode("spans").alias("x"))
-    before, after = F.col("x.before"), F.col("x.after")
-    first = F.col("x.s") - F.length(before)
-    left = F.filter(terms_in(before, first), lambda t: (F.length(before) <= CONTEXT) | (t["s"] > first))
-    right = F.filter(terms_in(after, F.col("x.e")), lambda t: (F.length(after) <= CONTEXT) | (t["e"] <= F.col("x.e") + CONTEXT))
-    both = one.select("rid", entity(F.col("x")).alias("entity"), F.explode(F.concat(left, right)).alias("t"))
-    return both.select("rid", "entity", "t.term", "t.s", "t.e")
+    n_docs = found.count()
+    mentions = entities(found)
+    known = mentions.groupBy("entity").agg(F.count("*").alias("df_e")).where(F.col("df_e") >= SUPPORT).withColumn("most", most_of_term(F.col("df_e"), n_docs))
+    mentions = mentions.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).join(spread(known), ["entity", "salt"])
+    own = materialize(mentions.groupBy("rid").agg(F.collect_list(F.struct("entity", "most")).alias("own"), F.max("most").alias("most")), "mentions")
+    words = found.select("rid", "body").join(own.select("rid", "most"), "rid").select("rid", "most", F.explode(distinct_terms(F.col("body"))).alias("term"))
+    words = materialize(words, "words")
+    rare = words.groupBy("term").agg(F.count("*").alias("n"), F.max("most").alias("top")).where((F.col("n") >= SUPPORT) & (F.col("n") <= F.col("top"))).select("term", "n")
+    words = words.drop("most").withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).join(spread(rare), ["term", "salt"])
+    both = words.join(own.select("rid", "own"), "rid")
+    return both.select("rid", "term", F.explode(F.filter("own", lambda x: F.col("n") <= x["most"])).alias("x")).select("rid", "x.entity", "term")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -137,16 +160,16 @@ def spread(df: DataFrame) -> DataFrame:
 def disclosing(docs: DataFrame, found: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
     """Rows (entity, term, share): pairs that stand together in SUPPORT documents or more and reveal GENERALISE or more.
 
-    p(e), p(t) and p(t,e) are shares of all documents: that mention e, have t, have t near e.
+    p(e), p(t) and p(t,e) are shares of all documents: that mention e, have t, have both.
     """
     n_docs = found.count()
-    of_entity = found.select("rid", F.explode("spans").alias("x")).select(entity(F.col("x")).alias("entity"), "rid").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
-    together = pairs.select("entity", "term", "rid").distinct().groupBy("entity", "term").agg(F.count("*").alias("c")).where(F.col("c") >= SUPPORT)
+    of_entity = entities(found).groupBy("entity").agg(F.count("*").alias("df_e"))
+    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("c")).where(F.col("c") >= SUPPORT)
     together = together.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(spread(of_entity), ["entity", "salt"]).drop("salt")
     together = materialize(together, "together")
     terms = materialize(together.select("term").distinct(), "terms")
     small = terms.count() <= BROADCAST_TERMS
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(_TERM), F.lit(0)))).alias("term"))
+    words = docs.select(F.explode(distinct_terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
     if small:
         words = words.join(F.broadcast(terms), "term")
     of_term = words.groupBy("term").agg(F.count("*").alias("df_t"))
@@ -166,10 +189,11 @@ def analyse(docs: DataFrame, text: str = "text") -> DataFrame:
     pairs = materialize(near_terms(found), "pairs")
     told = materialize(disclosing(docs, found, pairs, text), "told")
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).join(spread(told), ["entity", "term", "salt"])
-    spans = salted.groupBy("rid", "s", "e").agg((F.max("share") >= REMOVE).alias("remove")).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("s", "e", "remove"))).alias("terms"))
-    out = found.withColumn("base", F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))).drop("spans").join(spans, "rid", "left")
+    hits = salted.groupBy("rid", "term").agg((F.max("share") >= REMOVE).alias("remove")).groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("term", "remove"))).alias("told"))
+    spans = found.select("rid", "body").join(hits, "rid").select("rid", terms_in(F.col("body"), F.col("told")).alias("terms"))
+    out = found.drop("body").withColumn("base", F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))).drop("spans").join(spans, "rid", "left")
     free = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    return out.withColumn("terms", F.coalesce(free, F.array().cast("array<struct<s:int,e:int,remove:boolean>>")))
+    return out.withColumn("terms", F.coalesce(free, F.array().cast(TERMS)))
 
 
 def names(spans: Column, kind) -> Column:

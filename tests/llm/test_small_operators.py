@@ -238,6 +238,15 @@ def test_terms_that_reveal_an_entity_go(spark):
     assert got[10] == "common things about notes at [email] by someone" and got[40] == rows[23][1] and got[99] is None
 
 
+def test_a_term_far_from_the_mention_goes_everywhere(spark):
+    far = "plain words of no one in particular " * 5
+    rows = [(i, f"Zorblatt wrote {far}to zed@x.example and {far}left; zorblatt again {i}") for i in range(3)]
+    rows += [(10 + i, f"{far}wrote to other{i}@y.example and again left") for i in range(40)]
+    got = {r["doc_id"]: r["sanitized"] for r in privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == f"[term] wrote {far}to [email] and {far}left; [term] again 0"
+    assert got[10] == f"{far}wrote to [email] and again left"
+
+
 def test_disclosure_equals_brute_force(spark):
     import random
 
