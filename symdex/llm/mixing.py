@@ -119,7 +119,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     `taken` is the words the mix takes, repeats counted: whole passes and then, for one document
     of a source at most, a part. `shards` (array<int>) has the output shard of each copy in turn,
     `order` the place of each copy by a hash in its shard's local shuffle; both are empty where
-    nothing is taken. Null sources are one source; null and blank texts have size 0 and are
+    nothing is taken; without shards, `copies` has their number. Null sources are one source; null and blank texts have size 0 and are
     taken with their block; `carry` names columns to hand through. Repeated rows are documents of their own. An empty table gives an
     empty result.
     """
@@ -155,10 +155,10 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("ahead")))
     taken = F.col("passes") * F.col("size") + part
     # in the last drawn block, documents behind the cut have one copy less
-    copies = F.least(F.size("shards").cast("long"), F.col("passes") + F.when((F.col("before") + F.col("ahead") < F.col("rest")), 1).otherwise(0))
+    copies = F.col("passes") + F.when((F.col("before") + F.col("ahead") < F.col("rest")), 1).otherwise(0)
     out = out.withColumns({"taken": taken.cast("long"), "copies": copies.cast("int")})
     if not with_shards:
-        return out.select(F.col("key").alias(key), "size", "source_size", "target", "taken", *carry)
+        return out.select(F.col("key").alias(key), "size", "source_size", "target", "taken", "copies", *carry)
     shards = F.slice("shards", F.lit(1), F.col("copies"))
     order = F.transform(shards, lambda s, i: F.xxhash64(F.lit(seed), F.col("h"), s, i))
     return out.select(F.col("key").alias(key), "size", "source_size", "target", "taken", shards.alias("shards"), order.alias("order"), *carry)
@@ -171,24 +171,24 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_source_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op3 that SQL can express."""
-    return mix(table(spark, sf_dir, "documents"), with_shards=False)
+    return mix(table(spark, sf_dir, "documents"), with_shards=False).drop("copies")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents as often as the mix takes them, the last copy of one cut where its source's target ends.
 
     Keeps the columns of documents; n_chars is that of the text that stays. Documents behind
-    their source's target go.
+    their source's target go; null and blank ones are taken as often as their place in their block.
     """
     keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    quota = mix(keyed, with_shards=False, carry=["__row"]).where("taken > 0").select("__row", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    quota = mix(keyed, with_shards=False, carry=["__row"]).where("copies > 0").select("__row", F.col("copies").alias("__copies"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
     joined = keyed.join(quota, "__row")
-    copy = F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))).alias("__copy")
+    copy = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")
     rows = joined.select("*", copy)
     left = F.least(F.col("__size"), F.col("__taken") - (F.col("__copy") - 1) * F.col("__size"))
     tokens = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.when(left < F.col("__size"), F.array_join(F.slice(tokens, F.lit(1), left.cast("int")), "")).otherwise(F.col("text"))
-    return rows.withColumn("text", cut).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return rows.withColumn("text", cut).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*docs.columns)
 
 
 ORACLE_MIX = f"""

@@ -103,6 +103,13 @@ def test_the_mix_bears_odd_sources(spark, odd):
     assert sum(r["taken"] for r in rows) > 0
 
 
+def test_the_stage_takes_documents_without_words_with_their_block(spark, folder):
+    path = folder(documents=[(i, [f"some words {i}", "", None, " "][i % 4], "en", "ab"[i % 3 == 0], 0) for i in range(200)])
+    wanted = {r["doc_id"]: len(r["shards"]) for r in QUERIES["op3_source_mixing"](spark, path).collect() if r["shards"]}
+    got = collections.Counter(r["doc_id"] for r in mixing.stage(spark, spark.read.parquet(f"{path}/documents.parquet"), path).collect())
+    assert got == wanted and any(i % 4 for i in got)
+
+
 def test_the_splitting_tree_deals_every_block(spark):
     quotas = [700, 3, 0, 41, 1]
     rows = mixing.split_quotas(spark.createDataFrame([(quotas,)], "quotas array<long>"), 7, 3).collect()
