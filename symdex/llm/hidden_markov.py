@@ -5,17 +5,16 @@ own; each other token is a symbol of its class (its ending and shape), and its p
 the class comes from its count. So the model has a fixed size and yet gives every text a
 probability: forward recursion over symbols times the class terms.
 
-Baum-Welch: every task runs scaled forward-backward over its share of all training documents and
-sends expected counts, whose size is fixed, to be summed by slice of the symbols; the driver
-divides them. In training a document is cut into segments of SEGMENT tokens, the later ones
-beginning from the chain's stationary distribution. A score is the exact likelihood of the whole
+Baum-Welch: every task runs scaled forward-backward over its share of all training documents, each
+from its first token to its end, and sends expected counts, whose size is fixed, to be summed by
+slice of the symbols; the driver divides them. A very long document is worked through in pieces
+that hand on the exact forward and backward messages. A score is the exact likelihood of the whole
 text: the scaled forward recursion runs from its first token to its end.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,16 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symdex.llm.shared import WordHashes, bound_batches, materialize, table, text_blocks
+from symdex.llm.shared import Words, bound_batches, lean, materialize, split_words, table, text_blocks
 from symdex.llm.toxicity import remainder
 
 #: Symbols of single tokens, classes of all other tokens, and latent states.
 VOCAB, CLASSES, STATES = 60_000, 128, 8
 ROUNDS = 6
-SEGMENT = 256
-#: Tokens that are worked on together.
-BLOCK_TOKENS = 400_000
-#: Distinct tokens that a task counts before it sends them on.
+#: Tokens that are worked on together, and those of a document from which on it is worked through piece by piece.
+BLOCK_TOKENS = 200_000
+PIECE = 200_000
+#: Steps after which a recursion is scaled.
+SCALE = 8
+#: Distinct tokens of blocks that a task holds before it adds them up, and then sends on if they are still half as many.
 COUNT_AT = 400_000
 #: Symbols of a slice of expected counts.
 SLICE = 2_000
@@ -42,45 +43,51 @@ SYMBOLS = END + 1
 SEED = 20240421
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """The words of a text in ASCII lower case."""
-    return text.encode().lower().split() if text else []
-
-
-def class_of(word: bytes) -> int:
-    """The class of a token: its last two bytes, and whether it has digits or is long."""
-    h = word[-1] * 31 + (word[-2] if len(word) > 1 else 0) * 7 + (len(word) > 8) * 3 + any(48 <= c <= 57 for c in word) * 5
-    return h % CLASSES
+def class_of(words: Words, at: np.ndarray) -> np.ndarray:
+    """The class of each of these tokens: its last two bytes, and whether it has digits or is long."""
+    first, last = words.first[at], words.last[at]
+    final = words.raw[last - 1].astype(np.int64)
+    other = np.where(last - first > 1, words.raw[np.maximum(last - 2, 0)], 0).astype(np.int64)
+    digits = np.concatenate([[0], np.cumsum((words.raw >= 48) & (words.raw <= 57), dtype=np.int32)])
+    return (final * 31 + other * 7 + (last - first > 8) * 3 + (digits[last] > digits[first]) * 5) % CLASSES
 
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64).view(np.int64)
 
 
+def added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token counts (hash, class, count) of several parts as one, each hash once."""
+    h, k, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+    once, at, where = np.unique(h, return_index=True, return_inverse=True)
+    return once, k[at], np.bincount(where, c, len(once)).astype(np.int64)
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """Rows (h, class, c): 64-bit hash, class and count of each distinct token of `docs` (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        held: Counter = Counter()
+        none = (np.array([], np.uint64), np.array([], np.int64), np.array([], np.int64))
+        held = [none]
 
-        def out() -> pa.RecordBatch:
-            words = list(held)
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-            made = pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.fromiter(map(class_of, words), np.int32, len(words))), pa.array(np.fromiter(held.values(), np.int64, len(words)))], names=["h", "class", "c"])
-            held.clear()
-            return made
+        def out(x: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(signed(x[0])), pa.array(x[1].astype(np.int32)), pa.array(x[2])], names=["h", "class", "c"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(tokens_of(text))
-                if len(held) >= COUNT_AT:
-                    yield out()
-        yield out()
+            texts = batch.column(0).to_pylist()
+            for lo, hi in text_blocks(texts):
+                words = split_words(texts[lo:hi])
+                h, at, c = np.unique(words.hashes, return_index=True, return_counts=True)
+                held.append((h, class_of(words, at), c))
+                if sum(len(x[0]) for x in held) >= COUNT_AT:
+                    held = [added(held)]
+                    if len(held[0][0]) >= COUNT_AT // 2:
+                        yield out(held[0])
+                        held = [none]
+        yield out(added(held))
 
     bound_batches(docs.sparkSession)
-    part = docs.select("text").mapInArrow(run, "h bigint, class int, c bigint")
+    part = docs.select("text").mapInArrow(lean(run), "h bigint, class int, c bigint")
     return part.groupBy("h").agg(F.first("class").alias("class"), F.sum("c").alias("c"))
 
 
@@ -148,20 +155,17 @@ def encode(docs: DataFrame, counts: Counts) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, logs, class_log, ends = shared.value
-        cache = WordHashes()
         names = [x.split()[0] for x in ENCODED.split(", ")]
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for lo, hi in text_blocks(texts):
-                words = [tokens_of(t) for t in texts[lo:hi]]
-                size = np.array([len(w) for w in words])
-                flat = [w for ws in words for w in ws]
-                h = np.fromiter(map(cache.__getitem__, flat), np.uint64, len(flat))
+                words = split_words(texts[lo:hi])
+                size, h = np.diff(words.bounds), words.hashes
                 at = np.searchsorted(hashes, h)
                 known = (at < len(hashes)) & (hashes[np.minimum(at, max(len(hashes) - 1, 0))] == h) if len(hashes) else np.zeros(len(h), bool)
                 rare = np.flatnonzero(~known)
                 symbols = at.astype(np.uint16)
-                kinds = np.fromiter((class_of(flat[i]) for i in rare.tolist()), np.int64, len(rare))
+                kinds = class_of(words, rare)
                 symbols[rare] = VOCAB + kinds
                 doc = np.repeat(np.arange(len(size)), size)
                 start = np.concatenate([[0], np.cumsum(size)])
@@ -175,7 +179,7 @@ def encode(docs: DataFrame, counts: Counts) -> DataFrame:
                 own = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(size + 1), pa.array(packed, pa.binary()), pa.array(sure), pa.array(n_known), pa.array(away), lists], names=names)
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, ENCODED)
+    return docs.select("doc_id", "held_out", "text").mapInArrow(lean(run), ENCODED)
 
 
 @dataclass
@@ -186,12 +190,6 @@ class Model:
     moves: np.ndarray
     emissions: np.ndarray
 
-    def stationary(self) -> np.ndarray:
-        p = np.full(len(self.start), 1 / len(self.start))
-        for _ in range(200):
-            p = p @ self.moves
-        return p / p.sum()
-
     def log10_likelihood(self, symbols: list[np.ndarray]) -> np.ndarray:
         """The exact log10 probability of each non-empty sequence: forward recursion, scaled every few steps."""
         size = np.array([len(s) for s in symbols])
@@ -218,51 +216,113 @@ class Model:
         return out
 
 
-def expected(model: Model, flat: np.ndarray, at: np.ndarray, size: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions of segments (places, sizes, whether each begins its document), and their log likelihood."""
-    order = np.argsort(-size, kind="stable")
-    at, size, first = at[order], size[order], first[order]
-    steps, states = int(size[0]), len(model.start)
-    live = np.searchsorted(-size, -np.arange(1, steps + 1), side="right")
-    alpha, scale, seen = [], [], []
-    log = 0.0
-    for t in range(steps):
-        n = live[t]
-        b = model.emissions[flat[at[:n] + t]]
-        a = (np.where(first[:, None], model.start, model.stationary()) if t == 0 else alpha[-1][:n] @ model.moves) * b
-        s = a.sum(axis=1)
-        log += float(np.log(s).sum())
-        alpha.append(a / s[:, None])
-        scale.append(s)
-        seen.append(b)
-    gamma = np.empty((len(flat), states))
-    moves = np.zeros((states, states))
-    beta = np.ones((live[-1], states))
-    for t in range(steps - 1, -1, -1):
-        n = live[t]
-        if t < steps - 1:
-            x = seen[t + 1] * beta / scale[t + 1][:, None]
-            moves += alpha[t][: len(x)].T @ x
-            beta = np.ones((n, states))
-            beta[: len(x)] = x @ model.moves.T
-        gamma[at[:n] + t] = alpha[t] * beta
-    moves *= model.moves
-    emissions = np.stack([np.bincount(flat, gamma[:, k], SYMBOLS) for k in range(states)], axis=1)
-    return gamma[at[first]].sum(axis=0), moves, emissions, log
+@dataclass
+class Block:
+    """Sequences laid out step by step, the longest first: the tokens of step t are rows at[t]:at[t] + live[t]."""
+
+    order: np.ndarray  # of the sequences, from long to short
+    live: np.ndarray
+    at: np.ndarray
+    symbols: np.ndarray
+
+    @classmethod
+    def of(cls, seqs: list[np.ndarray]) -> Block:
+        size = np.array([len(s) for s in seqs])
+        order = np.argsort(-size, kind="stable")
+        size = size[order]
+        live = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
+        at = np.cumsum(live) - live
+        flat = np.concatenate([seqs[i] for i in order]).astype(np.int64)
+        step = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        symbols = np.empty(len(flat), np.int64)
+        symbols[at[step] + np.repeat(np.arange(len(size)), size)] = flat
+        return cls(order, live, at, symbols)
+
+    @property
+    def ends(self) -> np.ndarray:
+        """The row of each sequence's last token, from long to short."""
+        size = np.searchsorted(-self.live, -np.arange(1, self.live[0] + 1), side="right")
+        return self.at[size - 1] + np.arange(self.live[0])
+
+
+def forward_messages(model: Model, block: Block, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Emissions and forward messages (up to a factor) of all tokens; `enter` has the state shares before each first token."""
+    seen = model.emissions[block.symbols]
+    alpha = np.empty_like(seen)
+    np.multiply(enter, seen[: len(enter)], out=alpha[: len(enter)])
+    live, at = block.live.tolist(), block.at.tolist()
+    for t in range(1, len(live)):
+        own = alpha[at[t] : at[t] + live[t]]
+        np.matmul(alpha[at[t - 1] : at[t - 1] + live[t]], model.moves, out=own)
+        own *= seen[at[t] : at[t] + live[t]]
+        if t % SCALE == 0:
+            own /= own.sum(axis=1, keepdims=True)
+    return seen, alpha
+
+
+def expected(model: Model, block: Block, enter: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Expected first states, moves and emissions of a block, and the backward messages to its first tokens.
+
+    `leave` has the backward message that reaches each sequence's last token, ones at the end of a
+    document. Messages are known up to a factor, which falls out as every token's shares, and those of
+    every pair of tokens, sum to 1.
+    """
+    seen, alpha = forward_messages(model, block, enter)
+    beta = np.empty_like(alpha)
+    beta[block.ends] = leave
+    live, at, back = block.live.tolist(), block.at.tolist(), np.ascontiguousarray(model.moves.T)
+    for t in range(len(live) - 1, -1, -1):
+        own = slice(at[t], at[t] + live[t])
+        if t % SCALE == 0:
+            beta[own] /= beta[own].sum(axis=1, keepdims=True)
+        seen[own] *= beta[own]  # from here on what a token tells its predecessor
+        if t:
+            np.matmul(seen[own], back, out=beta[at[t - 1] : at[t - 1] + live[t]])
+    n = len(alpha) - block.live[0]  # pairs of neighbours: the tokens that aren't first ones, and those before them
+    before = np.arange(block.live[0], len(alpha)) - np.repeat(block.live[:-1], block.live[1:])
+    left, right = alpha[before], seen[block.live[0] :]
+    left /= ((left @ model.moves) * right).sum(axis=1)[:, None] if n else 1
+    moves = (left.T @ right) * model.moves
+    alpha *= beta
+    alpha /= alpha.sum(axis=1, keepdims=True)
+    emissions = np.stack([np.bincount(block.symbols, alpha[:, k], SYMBOLS) for k in range(alpha.shape[1])], axis=1)
+    return alpha[: block.live[0]].sum(axis=0), moves, emissions, seen[: block.live[0]]
+
+
+def expected_of_long(model: Model, seq: np.ndarray, piece: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`expected` of one long document: forward once for the messages at the borders, then backward piece by piece."""
+    piece = piece or PIECE
+    blocks = [Block.of([seq[i : i + piece]]) for i in range(0, len(seq), piece)]
+    enters = [model.start[None, :]]
+    for b in blocks[:-1]:
+        last = forward_messages(model, b, enters[-1])[1][-1:]
+        enters.append(last @ model.moves / last.sum())
+    leave, moves, emissions = np.ones((1, len(model.start))), np.zeros_like(model.moves), np.zeros((SYMBOLS, len(model.start)))
+    for b, enter in zip(blocks[::-1], enters[::-1], strict=True):
+        start, inner, own, told = expected(model, b, enter, leave)
+        moves += inner
+        emissions += own
+        if enter is not enters[0]:
+            # the pair across the border: the state before it, weighed by what it says of the one behind it
+            earlier = forward_messages(model, blocks[len(enters) - 2], enters[-2])[1][-1]
+            pair = earlier[:, None] * model.moves * told
+            moves += pair / pair.sum()
+            leave = told @ model.moves.T
+            leave /= leave.sum()
+            enters.pop()
+    return start, moves, emissions
 
 
 def sequences(batches: Iterator[pa.RecordBatch], index: int, limit: int = BLOCK_TOKENS) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Slices of batches of about `limit` symbols with their sequences."""
+    """Rows of batches, about `limit` symbols of similar lengths at a time, with their sequences."""
     for batch in batches:
         found = [np.frombuffer(x, np.uint16) for x in batch.column(index).to_pylist()]
-        start, held = 0, 0
-        for i, s in enumerate(found):
-            if held and held + len(s) > limit:
-                yield batch.slice(start, i - start), found[start:i]
-                start, held = i, 0
-            held += len(s)
-        if start < len(found):
-            yield batch.slice(start), found[start:]
+        size = np.array([len(s) for s in found], np.int64)
+        order = np.argsort(-size, kind="stable")
+        cut = np.unique(np.append(np.searchsorted(np.cumsum(size[order]), np.arange(limit, size.sum() + limit, limit), side="right"), len(order)))
+        for rows in np.split(order, cut):
+            if len(rows):
+                yield batch.take(pa.array(rows)), [found[i] for i in rows.tolist()]
 
 
 def baum_welch(encoded: DataFrame, model: Model) -> Model:
@@ -276,17 +336,15 @@ def baum_welch(encoded: DataFrame, model: Model) -> Model:
         seen = False
         for _, found in sequences(batches, 0):
             seen = True
-            flat = np.concatenate(found).astype(np.int64)
-            size = np.array([len(s) for s in found])
-            begin = np.cumsum(size) - size
-            pieces = -(-size // SEGMENT)
-            doc = np.repeat(np.arange(len(size)), pieces)
-            nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            at = begin[doc] + nth * SEGMENT
-            start, moves, emissions, _ = expected(own, flat, at, np.minimum(SEGMENT, begin[doc] + size[doc] - at), nth == 0)
-            total[:SYMBOLS] += emissions
-            total[SYMBOLS:-1] += moves
-            total[-1] += start
+            short = [s for s in found if len(s) <= PIECE]
+            sums = [expected_of_long(own, s) for s in found if len(s) > PIECE]
+            if short:
+                whole = np.ones((len(short), states))
+                sums.append(expected(own, Block.of(short), whole * own.start, whole)[:3])
+            for start, moves, emissions in sums:
+                total[:SYMBOLS] += emissions
+                total[SYMBOLS:-1] += moves
+                total[-1] += start
         if seen:
             parts = range(0, len(total), SLICE)
             yield pa.RecordBatch.from_arrays([pa.array([p // SLICE for p in parts], pa.int32()), pa.array([total[p : p + SLICE].tobytes() for p in parts], pa.binary())], names=["slice", "sums"])
@@ -294,11 +352,11 @@ def baum_welch(encoded: DataFrame, model: Model) -> Model:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0.0) + np.frombuffer(x)
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[k] = sums.get(k, 0.0) + np.frombuffer(x.as_buffer())
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "sums"])
 
-    parts = encoded.where("not held_out").select("symbols").mapInArrow(count, "slice int, sums binary")
+    parts = encoded.where("not held_out").select("symbols").mapInArrow(lean(count), "slice int, sums binary")
     whole = {r[0]: np.frombuffer(r[1]) for r in parts.repartition("slice").mapInArrow(add, "slice int, sums binary").collect()}
     shared.unpersist()
     if not whole:
@@ -341,15 +399,19 @@ def forward(encoded: DataFrame, model: Model) -> DataFrame:
 
     kept = encoded.select("row", "symbols", "doc_id", "held_out", "n_tokens", "sure", "known", "class_log")
     schema = kept.drop("symbols").schema.add("log", "double")
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def rare_sums(encoded: DataFrame, counts: DataFrame) -> DataFrame:
-    """Rows (row, rare_log, rare_known): over the tokens that aren't symbols, sums of log10(c + 0.5) and of c > 0."""
-    one = encoded.select("row", F.explode("rare").alias("h"))
+    """Rows (row, rare_log, rare_known): over the tokens that aren't symbols, sums of log10(c + 0.5) and of c > 0.
+
+    A text's repeats of a token go as one; a token that no symbol stands for is in few texts of a
+    large corpus, and in a small one its rows are few.
+    """
+    one = encoded.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("n"))
     joined = one.join(counts.select("h", "c"), "h", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
-    return joined.groupBy("row").agg(F.sum(F.log10(c + 0.5)).alias("rare_log"), F.sum((c > 0).cast("long")).alias("rare_known"))
+    return joined.groupBy("row").agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("rare_log"), F.sum(F.col("n") * (c > 0).cast("long")).alias("rare_known"))
 
 
 def lm_scores(docs: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:

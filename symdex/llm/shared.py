@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +21,11 @@ BLANK = r"[^\x20\x09-\x0D]+"
 #: Rows an Arrow batch holds at most while whole texts travel to Python.
 TEXT_BATCH_ROWS = 2000
 #: Bytes after which an Arrow batch ends; a larger row travels alone.
-TEXT_BATCH_BYTES = 16_000_000
+TEXT_BATCH_BYTES = 4_000_000
 #: Characters of text that a Python worker takes apart at a time.
-TEXT_BLOCK_CHARS = 4_000_000
+TEXT_BLOCK_CHARS = 1_000_000
+#: Bytes of text whose words are hashed at a time; each takes some 40 bytes while it is.
+HASH_BYTES = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +39,13 @@ _LOCAL: dict[str, str] = {}
 def work_dir(spark: SparkSession) -> str:
     """This application's folder for work tables in the folder that driver and executors share, spark.checkpoint.dir of the session.
 
-    Only where that is unset (a local session, as in tests) a temporary folder takes its place.
+    Only in a local session where that is unset, as in tests, a temporary folder takes its place.
     """
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", "") or _LOCAL.get(app)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         base = _LOCAL[app] = Path(tempfile.mkdtemp(prefix="symdex-")).as_uri()
     return f"{base.rstrip('/')}/symdex/{app}"
 
@@ -125,20 +134,61 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """Words (bytes) to 64-bit hashes; forgets all at a fixed size, so that memory is bounded."""
+_SOLID = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE_VALUES = (np.random.default_rng(20240117).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * _SOLID
+_BASE = np.uint64(0xD1342543DE82EF95)
 
-    def __init__(self, most: int = 200_000):
-        super().__init__()
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+@dataclass
+class Words:
+    """The words of some texts in ASCII lower case: their hashes, where they begin and end in `raw`, and the words of text i as bounds[i]:bounds[i + 1]."""
 
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+    raw: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    hashes: np.ndarray
+    bounds: np.ndarray
+
+
+def split_words(texts: list[str | None]) -> Words:
+    """The words (runs without ASCII white space) of all texts at once; none of a null.
+
+    A word's hash is a polynomial of random values of its bytes, finished by `mix64`. No object is
+    made for a word, and a text of any length is hashed HASH_BYTES at a time.
+    """
+    parts = [t.encode().lower() if t else b"" for t in texts]
+    raw = np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8)
+    solid = _SOLID[raw]
+    edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1  # begins and ends by turns
+    first, last = edge[::2], edge[1::2]
+    begins = np.cumsum([1, *(len(p) + 1 for p in parts)])
+    hashes = np.empty(len(first), np.uint64)
+    power = np.ones(1, np.uint64)
+    cuts = np.unique(np.searchsorted(first, np.arange(0, len(raw) + HASH_BYTES, HASH_BYTES)))
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        start, end = first[lo], last[hi - 1]
+        at = first[lo:hi] - start
+        reach = np.diff(np.append(at, end - start))
+        longest = int(reach.max())
+        if longest > len(power):
+            power = np.cumprod(np.full(longest, _BASE, np.uint64))
+        place = np.arange(end - start) - np.repeat(at, reach)
+        hashes[lo:hi] = np.add.reduceat(_BYTE_VALUES[raw[start:end]] * power[place], at)
+    return Words(raw, first, last, mix64(hashes), np.searchsorted(first, begins))
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow; when it ends, the worker, which Spark keeps for later tasks, hands its free memory back to the system."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

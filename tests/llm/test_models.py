@@ -1,5 +1,6 @@
 """Hidden Markov scores and toxicity."""
 
+import collections
 import itertools
 import math
 import random
@@ -53,11 +54,11 @@ def test_expected_counts_are_those_over_all_paths():
     rng = np.random.default_rng(4)
     model = small_model(rng)
     seqs = [rng.integers(0, 5, n) for n in (5, 1, 6)]
-    start, moves, emissions, log = hm.expected(model, np.concatenate(seqs), np.array([0, 5, 6]), np.array([5, 1, 6]), np.array([True] * 3))
-    s2, m2, e2, l2 = np.zeros(3), np.zeros((3, 3)), np.zeros((hm.SYMBOLS, 3)), 0.0
+    ones = np.ones((3, 3))
+    start, moves, emissions, _ = hm.expected(model, hm.Block.of(seqs), ones * model.start, ones)
+    s2, m2, e2 = np.zeros(3), np.zeros((3, 3)), np.zeros((hm.SYMBOLS, 3))
     for seq in seqs:
         total = sum(p for p, _ in all_paths(model, seq))
-        l2 += math.log(total)
         for p, path in all_paths(model, seq):
             w = p / total
             s2[path[0]] += w
@@ -65,7 +66,75 @@ def test_expected_counts_are_those_over_all_paths():
                 m2[a, b] += w
             for s, k in zip(seq, path, strict=True):
                 e2[s, k] += w
-    assert np.allclose(start, s2) and np.allclose(moves, m2) and np.allclose(emissions, e2) and log == pytest.approx(l2)
+    assert np.allclose(start, s2) and np.allclose(moves, m2) and np.allclose(emissions, e2)
+
+
+def test_a_long_document_is_counted_in_pieces_as_it_is_whole():
+    rng = np.random.default_rng(6)
+    model = small_model(rng)
+    seq = rng.integers(0, 5, 57)
+    ones = np.ones((1, 3))
+    whole = hm.expected(model, hm.Block.of([seq]), ones * model.start, ones)
+    for piece in (1, 2, 9, 56):
+        assert all(np.allclose(a, b) for a, b in zip(hm.expected_of_long(model, seq, piece), whole, strict=False))
+
+
+def plain_round(model, seqs):
+    """One round of Baum-Welch, sequence by sequence and token by token."""
+    start, moves, emissions = np.zeros_like(model.start), np.zeros_like(model.moves), np.zeros_like(model.emissions)
+    for seq in seqs:
+        alpha = [model.start * model.emissions[seq[0]]]
+        for x in seq[1:]:
+            alpha.append(alpha[-1] @ model.moves * model.emissions[x])
+            alpha[-1] /= alpha[-1].sum()
+        beta = np.ones_like(model.start)
+        for t in range(len(seq) - 1, -1, -1):
+            gamma = alpha[t] * beta
+            emissions[seq[t]] += gamma / gamma.sum()
+            if t:
+                told = model.emissions[seq[t]] * beta
+                pair = alpha[t - 1][:, None] * model.moves * told
+                moves += pair / pair.sum()
+                beta = model.moves @ told
+                beta /= beta.sum()
+            else:
+                start += gamma / gamma.sum()
+    return hm.estimate(start, moves, emissions, model.emissions.sum(axis=1) > 0)
+
+
+def test_scores_against_brute_force(spark, monkeypatch):
+    """The whole query, with so few symbols that most tokens are known by their class."""
+    for name, value in (("VOCAB", 6), ("CLASSES", 5), ("END", 11), ("SYMBOLS", 12), ("SLICE", 4), ("PIECE", 40), ("BLOCK_TOKENS", 90)):
+        monkeypatch.setattr(hm, name, value)
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abc1", k=rng.choice([1, 2, 2, 10])))
+    docs = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 7, 30, 100])))) for i in range(60)] + [(70, None)]
+    got = {r["doc_id"]: r for r in hm.lm_scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 2).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in docs}
+    texts = {i: (t or "").encode().lower().split() for i, t in docs}
+    count = collections.Counter(w for i, t in texts.items() if not held[i] for w in t)
+    ends = sum(not x for x in held.values())
+    of = {w: int(h) for w, h in zip(count, hm.signed(hm.split_words([w.decode() for w in count]).hashes), strict=True)}
+    top = sorted(count, key=lambda w: (-count[w], of[w]))[:6]
+    top.sort(key=lambda w: of[w] % 2**64)
+    kind = lambda w: (w[-1] * 31 + (w[-2] if len(w) > 1 else 0) * 7 + (len(w) > 8) * 3 + any(48 <= c <= 57 for c in w) * 5) % 5
+    in_class, words_of = collections.Counter(), collections.Counter()
+    for w in set(count) - set(top):
+        in_class[kind(w)] += count[w]
+        words_of[kind(w)] += 1
+    symbol = lambda w: top.index(w) if w in top else 6 + kind(w)
+    seqs = {i: [*map(symbol, t), 11] for i, t in texts.items()}
+    counts = hm.Counts(np.array([0] * 6, np.uint64), np.array([count[w] for w in top]), np.array([in_class[k] for k in range(5)]), np.array([words_of[k] for k in range(5)]), ends)
+    model = hm.first_model(counts)
+    for _ in range(2):
+        model = plain_round(model, [s for i, s in seqs.items() if not held[i]])
+    for i, seq in seqs.items():
+        a = model.start * model.emissions[seq[0]]
+        for x in seq[1:]:
+            a = a @ model.moves * model.emissions[x]
+        log = math.log10(a.sum()) if a.sum() else None
+        rare = sum(math.log10((count[w] + 0.5) / (in_class[kind(w)] + 0.5 * (words_of[kind(w)] + 1))) for w in texts[i] if w not in top)
+        assert got[i]["n_tokens"] == len(seq) and got[i]["held_out"] == held[i] and got[i]["score"] == pytest.approx(log + rare, rel=1e-6)
 
 
 def test_rounds_of_training_raise_the_likelihood(spark):
