@@ -6,8 +6,8 @@ feature's value is its naive Bayes log-count ratio between labels 1 and 0; logis
 weighs the scaled features. Features whose share doesn't differ clearly between the labels have
 the value 0, so that a long text of ordinary words gathers no score by its length.
 
-The classifier is fitted to a bounded sample of labelled rows (SAMPLE for each label, texts of at
-most SAMPLE_CHARS); every document is then scored whole, without a shuffle.
+The classifier is fitted to a bounded sample of labelled rows (SAMPLE for each label), each by the
+features of its whole text; every document is then scored whole, without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,45 +21,53 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symdex.llm.near_duplicates import shingle_sets
-from symdex.llm.shared import bound_batches, drop, materialize, mix64, table, text_blocks
+from symdex.llm.shared import bound_batches, drop, lean, materialize, mix64, table, text_blocks
 
 BITS = 18
 GRAMS = (3, 4, 5, 6)
 #: Labelled rows of each label that the classifier is fitted to, at most.
 SAMPLE = 4000
-SAMPLE_CHARS = 50_000
-#: Characters of sampled text that are taken apart at a time; each makes about 30 bytes of features.
-SAMPLE_BLOCK = 1_000_000
+#: Bytes of text that are taken apart at a time; each takes about 40 bytes while it is.
+PIECE = 250_000
 #: Standard errors by which a feature's share must differ between the labels.
 CLEAR = 4.0
-#: Characters of text that are scored at a time; each takes about 40 bytes while it is.
-SCORE_BLOCK = 1_000_000
 THRESHOLD = 0.7
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _GAP = b" " * max(GRAMS)
 
 
-def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n: (feature of every n-gram of the texts, place of every text's first n-gram). No n-gram spans two texts."""
-    parts = [t.encode().translate(_BYTES) if t else b"" for t in texts]
-    raw = np.frombuffer(_GAP + _GAP.join(parts) + _GAP, np.uint8).astype(np.uint32)
-    starts = np.cumsum([0] + [len(p) + len(_GAP) for p in parts])
+def features(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """For each n: the feature of every n-gram of some bytes, by its place."""
+    raw = raw.astype(np.uint32)
     for n in GRAMS:
-        h = np.full(len(raw) - n + 1, n, np.uint32)
+        h = np.full(max(0, len(raw) - n + 1), n, np.uint32)
         for k in range(n):
-            h = h * np.uint32(0x01000193) ^ raw[k : len(raw) - n + 1 + k] * np.uint32(0x9E3779B1)
+            h = h * np.uint32(0x01000193) ^ raw[k : k + len(h)] * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA6B)
-        yield h >> np.uint32(32 - BITS), starts
+        yield h >> np.uint32(32 - BITS)
 
 
 def present(texts: list[str | None], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs, of the features that `wanted` marks if it is given."""
-    found = []
-    for f, starts in features(texts):
-        at = np.arange(len(f)) if wanted is None else np.flatnonzero(wanted[f])
-        doc = np.minimum(np.searchsorted(starts, at, side="right") - 1, len(texts) - 1)
-        found.append(np.unique(doc.astype(np.int64) << BITS | f[at]))
+    """Distinct (text, feature) pairs, of the features that `wanted` marks if it is given.
+
+    No n-gram spans two texts. PIECE bytes are taken apart at a time, overlapping by the longest
+    n-gram, so a text of any length needs little more than its own bytes.
+    """
+    parts = [t.encode().translate(_BYTES) if t else b"" for t in texts]
+    raw = np.frombuffer(_GAP + _GAP.join(parts) + _GAP, np.uint8)
+    starts = np.cumsum([0] + [len(p) + len(_GAP) for p in parts])
+    found: list[np.ndarray] = [np.array([], np.int64)]
+    for lo in range(0, len(raw), PIECE):
+        own = []
+        for f in features(raw[lo : lo + PIECE + max(GRAMS) - 1]):
+            f = f[:PIECE]  # longer n-grams end earlier, so shorter ones reach into the next piece
+            at = np.arange(len(f)) if wanted is None else np.flatnonzero(wanted[f])
+            doc = np.minimum(np.searchsorted(starts, at + lo, side="right") - 1, len(texts) - 1)
+            own.append(doc.astype(np.int64) << BITS | f[at])
+        found.append(np.unique(np.concatenate(own)))
+        if sum(map(len, found[1:])) > 4 * max(PIECE, len(found[0])):
+            found = [np.unique(np.concatenate(found))]
     both = np.unique(np.concatenate(found))
     return both >> BITS, both & ((1 << BITS) - 1)
 
@@ -134,13 +142,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     own = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z")
     own = own.where(remainder(F.col(key), 3) != 1).select(key, "y")
     picked = [own.where(f"y = {y}").orderBy(F.xxhash64(key), key).limit(sample) for y in (0, 1)]
-    rows = docs.where(F.length(text) <= SAMPLE_CHARS).join(F.broadcast(picked[0].unionByName(picked[1])), key).select(F.col(key).cast("string").alias("k"), F.col("y").cast("long").alias("y"), F.col(text).alias("t"))
+    rows = docs.join(F.broadcast(picked[0].unionByName(picked[1])), key).select(F.col(key).cast("string").alias("k"), F.col("y").cast("long").alias("y"), F.col(text).alias("t"))
 
     def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, y, texts = (batch.column(i) for i in range(3))
             texts = texts.to_pylist()
-            for lo, hi in text_blocks(texts, SAMPLE_BLOCK):
+            for lo, hi in text_blocks(texts):
                 doc, f = present(texts[lo:hi])
                 cut = np.searchsorted(doc, np.arange(1, hi - lo))
                 marks = [[int(h.min()), int(mix64(h + np.uint64(7)).min())] if len(h) else [0, 0] for h in shingle_sets(texts[lo:hi])]
@@ -149,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), y.slice(lo, hi - lo), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(packed, pa.binary())], names=["k", "y", "m1", "m2", "f"])
 
     bound_batches(docs.sparkSession)
-    parts = materialize(rows.mapInArrow(take_apart, "k string, y bigint, m1 bigint, m2 bigint, f binary"), "features")
+    parts = materialize(rows.mapInArrow(lean(take_apart), "k string, y bigint, m1 bigint, m2 bigint, f binary"), "features")
     first = sorted(map(tuple, parts.select("k", "y", "m1", "m2").toArrow().to_pandas().to_numpy().tolist()))
     keep = {first[i][0]: first[i][1] for i in distinct_rows([x[2:] for x in first])}
     n1 = sum(keep.values())
@@ -164,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     counts = np.zeros((2, 1 << BITS), np.int64)
     once = parts.dropDuplicates(["k"])
-    for row in once.select("k", "y", "f").coalesce(4).mapInArrow(count, "c binary").toLocalIterator():
+    for row in once.select("k", "y", "f").coalesce(4).mapInArrow(lean(count), "c binary").toLocalIterator():
         counts += np.frombuffer(row[0], np.int32).reshape(2, -1)
     ratio = ratios(counts[1], counts[0], n1, len(keep) - n1) if 0 < n1 < len(keep) else np.zeros(1 << BITS)
 
@@ -174,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             f = [(x := np.frombuffer(b, np.int32))[ratio[x] != 0].tobytes() for b in f]
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(f, pa.binary())], names=["k", "f"])
 
-    got = once.select("k", "f").mapInArrow(telling, "k string, f binary").toArrow()
+    got = once.select("k", "f").mapInArrow(lean(telling), "k string, f binary").toArrow()
     drop(parts)
     rows = sorted((k, f) for k, f in zip(got["k"].to_pylist(), got["f"].to_pylist(), strict=True) if k in keep)
     return fit([np.frombuffer(f, np.int32) for _, f in rows], np.array([keep[k] for k, _ in rows], float), ratio)
@@ -194,11 +202,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
         own_model = Model(*shared.value)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            for lo, hi in text_blocks(texts, SCORE_BLOCK):
+            for lo, hi in text_blocks(texts):
                 own = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(own.column(i) for i in keep), pa.array(own_model.scores(texts[lo:hi]))], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,6 +224,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without those of a score of 0.7 or more."""
+    """Pipeline stage: documents without those of a score of 0.7 or more.
+
+    Null and empty texts have the score of no feature and repeated rows score alike, so they stay or
+    go as others do; an empty table stays empty.
+    """
     model = train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return score(docs, model, column="__score").where(f"__score < {THRESHOLD}").drop("__score")
