@@ -9,7 +9,7 @@ The drawn blocks go to output shards: a binary tree over the shards splits the s
 quotas, at every node by a multivariate-hypergeometric draw, so that each shard gets its exact
 number of blocks and a fair share of each source. A shard then takes its quota of consecutive
 permuted blocks from each source, disjoint from those of other shards, and orders its documents
-by a hash. All of it is DataFrame functions; the tree works on counts, never on documents.
+by a hash; `emit` writes them so. All of it is DataFrame functions; the tree works on counts, never on documents.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ MOST_COPIES = 3
 #: Blocks of a source. A block is the unit of quotas and of windows, so it grows with the source, and hot sources have as many as others.
 BLOCKS = 1024
 N_SHARDS = 24
+#: Parts of an output shard, each in an order of its own.
+SHARD_PARTS = 16
+#: Blocks of all sources up to which their plan (about 150 bytes each) goes to all executors; beyond that it is joined by shuffle.
+BROADCAST_BLOCKS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -113,19 +117,12 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
     return ranked.withColumn("target", target).select("sk", "rank", "source_size", "target")
 
 
-def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[int] = WEIGHTS, most: int = MOST_COPIES, n_shards: int = N_SHARDS, seed: int = 0, blocks: int = BLOCKS, with_shards: bool = True, carry: Sequence[str] = ()) -> DataFrame:
-    """One row for each row of `df`: key, size, source_size, target, taken, shards.
+def permuted_blocks(docs: DataFrame, weights: Sequence[int], most: int, seed: int) -> DataFrame:
+    """Rows (sk, block, rank, source_size, target, passes, rest, before, words, place, blocks, draws): the blocks of each source in permuted order.
 
-    `taken` is the words the mix takes, repeats counted: whole passes and then, for one document
-    of a source at most, a part. `shards` (array<int>) has the output shard of each copy in turn,
-    `order` the place of each copy by a hash in its shard's local shuffle; both are empty where
-    nothing is taken; without shards, `copies` has their number. Null sources are one source; null and blank texts have size 0 and are
-    taken with their block; `carry` names columns to hand through. Repeated rows are documents of their own. An empty table gives an
-    empty result.
+    `rest` is what the last, partial pass over the source takes, `before` the words of the blocks
+    ahead, `draws` how often a block is drawn.
     """
-    h = hash52(F.concat(key_text(df[key]), F.lit(f":mix:{seed}")))
-    docs = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("sk"), words(F.col(text)).alias("size"), h.alias("h"), *carry)
-    docs = materialize(docs.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int")), "sized")
     per_block = docs.groupBy("sk", "block").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
     per_block = materialize(per_block, "blocks")
     goal = targets(per_block.groupBy("sk").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")), weights, most)
@@ -136,32 +133,61 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     passes = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumns({"passes": passes, "rest": whole}).withColumn("rest", F.col("rest") - F.col("passes") * F.col("source_size"))
     plan = plan.withColumns({"before": F.sum("words").over(in_source) - F.col("words"), "place": F.row_number().over(in_source) - 1, "blocks": F.count("*").over(W.partitionBy("sk"))})
-    plan = plan.withColumn("draws", F.col("passes") + F.when(F.col("before") < F.col("rest"), 1).otherwise(0))
-    if with_shards:
-        plan = materialize(plan, "plan")
-        quotas = plan.groupBy("rank").agg(F.sum("draws").alias("q")).agg(F.array_sort(F.collect_list(F.struct("rank", "q"))).alias("s")).select(F.col("s.q").alias("quotas"))
-        leaves = split_quotas(quotas.where(F.size("quotas") > 0), n_shards, seed).select("shard", F.posexplode("quotas").alias("rank", "q"))
-        ends = leaves.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("shard", "q"))).alias("s"))
-        ends = ends.select("rank", F.aggregate("s.q", F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x))).alias("ends"))
-        plan = plan.join(ends, "rank")
-        draw = F.transform(F.when(F.col("draws") > 0, F.sequence(F.lit(0).cast("long"), F.col("draws") - 1)).otherwise(F.array().cast("array<bigint>")), lambda e: e * F.col("blocks") + F.col("place"))
-        plan = plan.withColumn("shards", F.transform(draw, lambda i: F.size(F.filter("ends", lambda x: x <= i))))
-    else:
-        plan = plan.withColumn("shards", F.lit(None).cast("array<int>"))
-    plan = plan.select("sk", "block", "source_size", "target", "passes", "rest", "before", "shards")
+    return plan.withColumn("draws", F.col("passes") + F.when(F.col("before") < F.col("rest"), 1).otherwise(0))
+
+
+def dealt(plan: DataFrame, n_shards: int, seed: int) -> DataFrame:
+    """`plan` with `shards`: the shard of each draw of a block, by the leaves of the splitting tree."""
+    quotas = plan.groupBy("rank").agg(F.sum("draws").alias("q")).agg(F.array_sort(F.collect_list(F.struct("rank", "q"))).alias("s")).select(F.col("s.q").alias("quotas"))
+    leaves = split_quotas(quotas.where(F.size("quotas") > 0), n_shards, seed).select("shard", F.posexplode("quotas").alias("rank", "q"))
+    ends = leaves.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("shard", "q"))).alias("s"))
+    ends = ends.select("rank", F.aggregate("s.q", F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x))).alias("ends"))
+    none = F.array().cast("array<bigint>")
+    draw = F.transform(F.when(F.col("draws") > 0, F.sequence(F.lit(0).cast("long"), F.col("draws") - 1)).otherwise(none), lambda e: e * F.col("blocks") + F.col("place"))
+    return plan.join(ends, "rank").withColumn("shards", F.transform(draw, lambda i: F.size(F.filter("ends", lambda x: x <= i))))
+
+
+def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[int] = WEIGHTS, most: int = MOST_COPIES, n_shards: int = N_SHARDS, seed: int = 0, blocks: int = BLOCKS, with_shards: bool = True, carry: bool = False) -> DataFrame:
+    """One row for each row of `df`: key, size, source_size, target, taken, shards, order.
+
+    `taken` is the words the mix takes, repeats counted: whole passes and then, for one document
+    of a source at most, a part. `shards` (array<int>) has the output shard of each copy in turn,
+    `order` the place of each copy by a hash in its shard's local shuffle; both are empty where
+    nothing is taken; without shards, `copies` has their number. Null sources are one source; null and
+    blank texts have size 0 and are taken with their block; with `carry` all columns of `df` are in the
+    struct `row`. Repeated rows are documents of their own. An empty table gives an empty result.
+
+    Documents meet the plan of the blocks, which is small, where they are read. Only those of the one
+    block in which a source's last pass ends are put in order.
+    """
+    h = hash52(F.concat(key_text(df[key]), F.lit(f":mix:{seed}")))
+    row = [F.struct(*[df[c] for c in df.columns]).alias("row")] if carry else []
+    docs = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("sk"), F.col(text).alias("text"), h.alias("h"), *row)
+    docs = docs.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
+    sized = lambda d: d.withColumn("size", words(F.col("text"))).drop("text")
+    narrow = materialize(sized(docs.drop("row")), "sized")
+    plan = permuted_blocks(narrow, weights, most, seed)
+    plan = dealt(materialize(plan, "plan"), n_shards, seed) if with_shards else plan.withColumn("shards", F.lit(None).cast("array<int>"))
+    plan = plan.withColumn("ends_here", (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
+    plan = materialize(plan.select("sk", "block", "source_size", "target", "passes", "rest", "before", "shards", "ends_here"), "dealt")
+    small = plan.count() <= BROADCAST_BLOCKS
+    joined = (docs if carry else narrow).join(F.broadcast(plan) if small else plan, ["sk", "block"])
+    # blocks are drawn whole or not at all, but for those where a source's last pass ends
+    inside = F.when(F.col("before") < F.col("rest"), 1).otherwise(0)
+    sized = sized if carry else lambda d: d  # where the texts come along, they are counted again and not shuffled
+    whole = sized(joined.where(~F.col("ends_here"))).withColumns({"part": inside * F.col("size"), "last": inside})
     in_block = W.partitionBy("sk", "block").orderBy("h", "key", "size").rowsBetween(W.unboundedPreceding, -1)
-    docs = docs.withColumn("ahead", F.coalesce(F.sum("size").over(in_block), F.lit(0)))
-    out = docs.join(plan, ["sk", "block"])
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("ahead")))
-    taken = F.col("passes") * F.col("size") + part
-    # in the last drawn block, documents behind the cut have one copy less
-    copies = F.col("passes") + F.when((F.col("before") + F.col("ahead") < F.col("rest")), 1).otherwise(0)
-    out = out.withColumns({"taken": taken.cast("long"), "copies": copies.cast("int")})
+    cut = sized(joined.where("ends_here")).withColumn("ahead", F.coalesce(F.sum("size").over(in_block), F.lit(0)))
+    left = F.col("rest") - F.col("before") - F.col("ahead")
+    cut = cut.withColumns({"part": F.greatest(F.lit(0), F.least(F.col("size"), left)), "last": F.when(left > 0, 1).otherwise(0)}).drop("ahead")
+    out = whole.unionByName(cut)
+    out = out.withColumns({"taken": (F.col("passes") * F.col("size") + F.col("part")).cast("long"), "copies": (F.col("passes") + F.col("last")).cast("int")})
+    kept = [F.col("key").alias(key), "size", "source_size", "target", "taken", *(["row"] if carry else [])]
     if not with_shards:
-        return out.select(F.col("key").alias(key), "size", "source_size", "target", "taken", "copies", *carry)
+        return out.select(*kept, "copies")
     shards = F.slice("shards", F.lit(1), F.col("copies"))
     order = F.transform(shards, lambda s, i: F.xxhash64(F.lit(seed), F.col("h"), s, i))
-    return out.select(F.col("key").alias(key), "size", "source_size", "target", "taken", shards.alias("shards"), order.alias("order"), *carry)
+    return out.select(*kept, shards.alias("shards"), order.alias("order"))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,21 +200,28 @@ def mix_source_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), with_shards=False).drop("copies")
 
 
+def emit(df: DataFrame, parts: int = SHARD_PARTS, **options) -> DataFrame:
+    """The mix itself: the columns of `df`, one row for each copy, dealt to the output shards and in each part of a shard in its local order.
+
+    The last copy of one document of a source is cut where its source's target ends; documents behind
+    it go; null and blank ones are taken as often as their block is drawn.
+    """
+    text = options.get("text", "text")
+    mixed = mix(df, carry=True, **options)
+    copies = mixed.select("row", "size", "taken", F.posexplode(F.arrays_zip("shards", "order")).alias("copy", "x")).select("row.*", F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("copy").alias("__copy"), F.col("x.shards").alias("__shard"), F.col("x.order").alias("__order"))
+    left = F.least(F.col("__size"), F.col("__taken") - F.col("__copy") * F.col("__size"))
+    tokens = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(left < F.col("__size"), F.array_join(F.slice(tokens, F.lit(1), left.cast("int")), "")).otherwise(F.col(text))
+    copies = copies.withColumn(text, cut).withColumn("__part", F.pmod("__order", F.lit(parts)).cast("int"))
+    return copies.repartition("__shard", "__part").sortWithinPartitions("__shard", "__part", "__order").select(*df.columns)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents as often as the mix takes them, the last copy of one cut where its source's target ends.
+    """Pipeline stage: documents as often as the mix takes them, shard by shard in the order of its local shuffle (cases: see `emit`).
 
-    Keeps the columns of documents; n_chars is that of the text that stays. Documents behind
-    their source's target go; null and blank ones are taken as often as their place in their block.
+    Keeps the columns of documents; n_chars is that of the text that stays.
     """
-    keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    quota = mix(keyed, with_shards=False, carry=["__row"]).where("copies > 0").select("__row", F.col("copies").alias("__copies"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    joined = keyed.join(quota, "__row")
-    copy = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")
-    rows = joined.select("*", copy)
-    left = F.least(F.col("__size"), F.col("__taken") - (F.col("__copy") - 1) * F.col("__size"))
-    tokens = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.when(left < F.col("__size"), F.array_join(F.slice(tokens, F.lit(1), left.cast("int")), "")).otherwise(F.col("text"))
-    return rows.withColumn("text", cut).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*docs.columns)
+    return emit(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*docs.columns)
 
 
 ORACLE_MIX = f"""
