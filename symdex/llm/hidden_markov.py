@@ -405,13 +405,12 @@ def forward(encoded: DataFrame, model: Model) -> DataFrame:
 def rare_sums(encoded: DataFrame, counts: DataFrame) -> DataFrame:
     """Rows (row, rare_log, rare_known): over the tokens that aren't symbols, sums of log10(c + 0.5) and of c > 0.
 
-    A text's repeats of a token go as one; a token that no symbol stands for is in few texts of a
-    large corpus, and in a small one its rows are few.
+    The joined keys are never hot in a large corpus: its frequent tokens are symbols.
     """
-    one = encoded.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("n"))
+    one = encoded.select("row", F.explode("rare").alias("h"))
     joined = one.join(counts.select("h", "c"), "h", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
-    return joined.groupBy("row").agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("rare_log"), F.sum(F.col("n") * (c > 0).cast("long")).alias("rare_known"))
+    return joined.groupBy("row").agg(F.sum(F.log10(c + 0.5)).alias("rare_log"), F.sum((c > 0).cast("long")).alias("rare_known"))
 
 
 def lm_scores(docs: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
