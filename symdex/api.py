@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from decimal import ROUND_HALF_UP, Decimal
 
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from symdex.functions import render
 from symdex.functions.text import phrases
@@ -18,6 +25,11 @@ from symdex.sources.store import Manifest, Store
 HIT_COLUMNS = ("distance", "rank", "score")
 
 
+def rounded(x: float) -> float:
+    """Four decimals, halves up, as the column function does it."""
+    return float(Decimal(repr(x)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+
+
 class Engine:
     """Reads are snapshots of the version that is published when they begin; `refresh` is the single writer."""
 
@@ -90,17 +102,27 @@ class Engine:
             if hits.isEmpty():
                 return self._plain(search.by_like(chunks, query, limit))
             return self._plain(chunks.join(F.broadcast(hits), "id").orderBy("rank", "id"))
+        # both legs run side by side and are at most 3 * limit rows each; the chunks of those are one more job
         wide = search.OVERFETCH * limit
-        # both legs are at most 3 * limit rows: kept on the driver as literals, so the legs run once
-        near = self._held(nearest(self.table(m, "vectors"), vector, wide), "id bigint, distance double")
-        text = self._held(self.text_hits(m, query, wide), "id bigint, rank double")
-        if not near[1] and not text[1]:
+        with ThreadPoolExecutor(1) as pool:
+            words = pool.submit(inheritable_thread_target(self.spark)(self._rows), lambda: self.text_hits(m, query, wide))
+            near = self._rows(lambda: nearest(self.table(m, "vectors"), vector, wide))
+            text = words.result()
+        if not near and not text:
             return self._plain(search.by_like(chunks, query, limit))
-        return search.with_payload(chunks, search.fuse(near[0], text[0], limit, chunks))
-
-    def _held(self, df: DataFrame, of: str) -> tuple[DataFrame, int]:
-        rows = df.collect()
-        return self.spark.createDataFrame(rows, of), len(rows)
+        found = {r["id"]: r for r in chunks.where(F.col("id").isin(*{x[0] for x in (*near, *text)})).collect()}
+        best = search.fused_ids(near, text, {i: r["symbol_type"] for i, r in found.items()})[:limit]
+        names = ["id", *(c for c in chunks.columns if c != "id")]
+        fields = [*(chunks.schema[n] for n in names), *(T.StructField(c, T.DoubleType()) for c in HIT_COLUMNS)]
+        rows = [(*(found[i][n] for n in names), distance, rank, rounded(score)) for i, distance, rank, score in best]
+        columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in fields]
+        kinds = to_arrow_schema(T.StructType(fields))
+        # a local relation: collecting it takes no job
+        return self.spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds), T.StructType(fields))
+
+    @staticmethod
+    def _rows(made: Callable[[], DataFrame]) -> list[tuple]:
+        return [tuple(r) for r in made().collect()]
 
     def search_symbol(self, name: str, symbol_type: str | None = None) -> DataFrame:
         return search.by_symbol(self.chunks(), name, symbol_type).orderBy("file_path", "line_start", "id")

@@ -41,10 +41,15 @@ def postings(docs: DataFrame, key: str, columns: list[str], stemmed: bool = True
 
 
 def plain_postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The same with JVM functions alone, for one column and unstemmed tokens of `functions.text.plain_tokens`."""
+    """The same with JVM functions alone, for one column and unstemmed tokens of `functions.text.plain_tokens`.
+
+    The texts are dealt by id, so that a row's tokens are grouped where they arise; an exchange of whole
+    texts is a fraction of one of their tokens.
+    """
     from symdex.functions.text import plain_tokens
 
-    one = docs.select(F.col(key).cast("long").alias("id"), plain_tokens(F.col(text)).alias("w")).select("id", F.size("w").alias("n_tokens"), F.posexplode("w").alias("p", "term"))
+    dealt = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).repartition("id")
+    one = dealt.select("id", plain_tokens(F.col("t")).alias("w")).select("id", F.size("w").alias("n_tokens"), F.posexplode("w").alias("p", "term"))
     return one.groupBy("term", "id", "n_tokens").agg(F.sort_array(F.collect_list("p")).alias("positions")).select("term", "id", F.lit(0).alias("col"), "positions", "n_tokens")
 
 

@@ -78,6 +78,22 @@ def fuse(vector_hits: DataFrame, text_hits: DataFrame, limit: int, kinds: DataFr
     return both.orderBy(*order).limit(limit).select("id", "distance", "rank", "score", "vr", "tr")
 
 
+def fused_ids(near: list[tuple[int, float]], text: list[tuple[int, float]], kind_of: dict[int, str]) -> list[tuple[int, float | None, float | None, float]]:
+    """`fuse` over the collected hits of a search, best first: (id, distance, rank, score) of those whose kind is known.
+
+    Both legs are limited and in order, so this is a handful of numbers on the driver.
+    """
+    place = [{id_: (n, x) for n, (id_, x) in enumerate(leg, 1)} for leg in (near, text)]
+    out = []
+    for id_ in dict.fromkeys([*place[0], *place[1]]):
+        if id_ in kind_of:
+            share = sum(1.0 / (RRF + leg[id_][0]) for leg in place if id_ in leg)
+            order = tuple(leg[id_][0] if id_ in leg else float("inf") for leg in place)
+            score = share * N.BOOSTS.get(kind_of[id_], N.OTHER_BOOST)
+            out.append((-score, *order, id_, place[0].get(id_, (0, None))[1], place[1].get(id_, (0, None))[1]))
+    return [(id_, distance, rank, -score) for score, _, _, id_, distance, rank in sorted(out, key=lambda x: x[:4])]
+
+
 def with_payload(chunks: DataFrame, hits: DataFrame) -> DataFrame:
     """Hits (a few rows) with their chunks, in the hits' order, the score rounded last."""
     joined = chunks.join(F.broadcast(hits), "id")

@@ -61,7 +61,11 @@ class Store:
         return self._fs.exists(self._at(name))
 
     def _read(self, name: str) -> str:
-        return self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0]
+        stream = self._fs.open(self._at(name))
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
 
     def _write(self, name: str, text: str, overwrite: bool = True) -> None:
         out = self._fs.create(self._at(name), overwrite)
