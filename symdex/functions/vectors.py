@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import queue
+import sys
 import threading
+import types
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +20,8 @@ from symdex.functions.text import tokens
 
 DIMENSION = 384
 BATCH = 256
+#: Batches in a row on which an embedder fails before a task gives it up.
+FAILURES = 3
 
 
 class EmbeddingError(RuntimeError):
@@ -91,9 +96,71 @@ class HashEmbedder:
         return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
+class EmbedderGone(EmbeddingError):
+    """The embedder can't be loaded or doesn't answer; it isn't asked again in this process."""
+
+
+def loaded() -> dict:
+    """What lazy embedders have loaded in this process, by name. Functions travel by value, so their own globals don't outlive a task."""
+    home = sys.modules.setdefault("symdex_loaded", types.ModuleType("symdex_loaded"))
+    return home.__dict__.setdefault("embedders", {})
+
+
+@dataclass(frozen=True)
+class LazyEmbedder:
+    """An embedder that each process loads when it is first needed, under `name`.
+
+    `load()` returns an object with `encode(texts)`. A failed load, and a call or load that takes
+    longer than `timeout` seconds, are remembered: all later calls in that process fail at once,
+    until `reset`.
+    """
+
+    name: str
+    load: Callable[[], object]
+    dimension: int
+    timeout: float = 120.0
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        held = loaded()
+        if isinstance(held.get(self.name), EmbedderGone):
+            raise held[self.name]
+        if self.name not in held:
+            held[self.name] = self._within("loading", self.load, latch=True)
+        return self._within("encoding", lambda: held[self.name].encode(texts), latch=False)
+
+    def _within(self, what: str, call: Callable[[], object], latch: bool) -> object:
+        """`call` in a thread of its own, which is left behind if it takes too long."""
+        done: queue.Queue = queue.Queue(1)
+
+        def run() -> None:
+            try:
+                done.put((True, call()))
+            except Exception as e:
+                done.put((False, e))
+
+        threading.Thread(target=run, daemon=True).start()
+        try:
+            good, out = done.get(timeout=self.timeout)
+        except queue.Empty:
+            gone = loaded()[self.name] = EmbedderGone(f"{what} {self.name} takes more than {self.timeout} s")
+            raise gone from None
+        if not good and latch:
+            loaded()[self.name] = EmbedderGone(f"{what} {self.name} failed: {out}")
+            raise loaded()[self.name] from out
+        if not good:
+            raise out
+        return out
+
+    def reset(self) -> None:
+        """Forget what this process has loaded, or that it failed."""
+        loaded().pop(self.name, None)
+
+
 def checked(embedder, texts: list[str]) -> np.ndarray:
     try:
         found = np.asarray(embedder.encode(texts), np.float32)
+    except EmbeddingError:
+        raise
     except Exception as e:
         raise EmbeddingError(str(e)) from e
     if found.shape != (len(texts), embedder.dimension):
@@ -102,18 +169,23 @@ def checked(embedder, texts: list[str]) -> np.ndarray:
 
 
 def embed(df: DataFrame, embedder, text: str, column: str = "embedding", batch: int = BATCH) -> DataFrame:
-    """`df` with the vector of each text, null where the embedder failed on its batch. The embedder is loaded once a worker."""
+    """`df` with the vector of each text, null where the embedder failed on its batch. After FAILURES batches in a row that failed a task asks no more."""
     names = [*df.columns, column]
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        failed = 0
         for whole in batches:
             for lo in range(0, whole.num_rows, batch):
                 own = whole.slice(lo, batch)
-                try:
-                    vectors = checked(embedder, [t or "" for t in own.column(at).to_pylist()]).tolist()
-                except EmbeddingError:
-                    vectors = [None] * own.num_rows
+                vectors = [None] * own.num_rows
+                if failed < FAILURES:
+                    try:
+                        vectors, failed = checked(embedder, [t or "" for t in own.column(at).to_pylist()]).tolist(), 0
+                    except EmbedderGone:
+                        failed = FAILURES
+                    except EmbeddingError:
+                        failed += 1
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(vectors, pa.list_(pa.float32()))], names=names)
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(column, T.ArrayType(T.FloatType()))]))

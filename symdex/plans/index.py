@@ -11,6 +11,7 @@ import time
 from collections.abc import Callable
 from datetime import UTC, datetime
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,7 +77,8 @@ class Indexer:
         self.store.save(fresh, folder)
         m.caches.append(folder)
         hashed, _ = split_by_cache(chunks.select("id", "search_text"), self.store.cache(m))
-        self.store.save(hashed.select("id", "embedding"), f"{layer}/vectors")
+        vectors = self.store.save(hashed.select("id", "embedding"), f"{layer}/vectors")
+        m.meta["chunks_without_vector"] = str(n - vectors.count())
         self.progress("store", 0, n, "")
         index = postings(chunks, "id", ["symbol_name", "search_text"]).repartitionByRange("term", "id").sortWithinPartitions("term", "id", "col")
         index = self.store.save(index, f"{layer}/postings")
@@ -106,13 +108,13 @@ class Indexer:
         self.store.save(rows.select(*schema.TRACKING.fieldNames()), m.tracking)
 
     def save_summary(self, m: Manifest) -> None:
-        if self.is_local():
-            self.store._write("PROJECT_SUMMARY.md", project_summary(self.root, self.store.tracking(m), custom=self.custom))
+        if self.is_local() or self.root.startswith("file:"):
+            self.store._write("PROJECT_SUMMARY.md", project_summary(unquote(urlparse(self.root).path) if self.root.startswith("file:") else self.root, self.store.tracking(m), custom=self.custom))
 
     def build(self) -> Manifest:
         """A new version from all files; embeddings of texts that were seen before are kept."""
         began = time.time()
-        with self.store.lock():
+        with self.store.lock() as lock:
             old = self.store.manifest() or Manifest()
             m = Manifest(version=old.version, caches=list(old.caches), next_id=old.next_id)
             self.progress("discover", 0, 0, "")
@@ -122,11 +124,13 @@ class Indexer:
             counts = staged.agg(F.count("*").alias("n"), F.count_if("skipped").alias("s")).first()
             self.progress("discover", counts["n"], counts["n"], "")
             self.add_layer(m, files.where(F.col("skip_reason").isNull()))
-            m.meta = {
+            m.meta |= {
                 "last_full_build": datetime.now(UTC).isoformat(), "build_time_seconds": f"{time.time() - began:.1f}", "total_files": str(counts["n"] - counts["s"]), "skipped_files": str(counts["s"]), "project_root": self.root,
             }
             self.save_summary(m)
+            lock.check()
             self.store.publish(m)
+            self.store.vacuum()
         return m
 
     def refresh(self, full: bool = False) -> Manifest:
@@ -135,7 +139,7 @@ class Indexer:
         if m is None:
             return self.build()
         began = time.time()
-        with self.store.lock():
+        with self.store.lock() as lock:
             tracked = self.store.tracking(m)
             self.progress("discover", 0, 0, "")
             first = diff(self.listed(), tracked)
@@ -148,7 +152,7 @@ class Indexer:
             n_deleted = deleted.count()
             if not n["seen"] and not n_deleted:
                 return m
-            m.layers, m.gone, m.caches = list(m.layers), list(m.gone), list(m.caches)
+            m.layers, m.gone, m.caches, m.meta = list(m.layers), list(m.gone), list(m.caches), dict(m.meta)
             changed = looked.where(F.col("action").isin("new", "changed"))
             self.progress("cleanup", 0, n_deleted, "")
             if n["work"] or n_deleted:
@@ -164,7 +168,11 @@ class Indexer:
             m.meta = m.meta | {"last_incremental_update": datetime.now(UTC).isoformat(), "incremental_time_seconds": f"{time.time() - began:.1f}", "files_reindexed": str(n["work"]), "files_deleted": str(n_deleted)}
             if n["work"] or n_deleted:
                 self.save_summary(m)
+            merged = self.store.compact(m)
+            lock.check()
             self.store.publish(m)
+            if merged:
+                self.store.vacuum()
         return m
 
 

@@ -8,6 +8,7 @@ file system API, so a store may be anything that Spark writes to.
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 from dataclasses import asdict, dataclass, field
@@ -27,6 +28,10 @@ class StoreLocked(RuntimeError):
     """Another writer is at work."""
 
 
+class StoreMoved(RuntimeError):
+    """Another writer has published since this one began, or has taken its mark over."""
+
+
 @dataclass
 class Manifest:
     """What a version consists of: layers in order, lists of gone ids, tables that are whole, and totals."""
@@ -43,8 +48,12 @@ class Manifest:
 
 
 class Store:
-    #: Seconds after which a writer's mark counts as left behind.
-    STALE = 900
+    #: Seconds without a sign of life after which a writer's mark counts as left behind.
+    STALE = 300
+    #: Layers from which on a refresh merges the later ones, and the share of gone rows from which on it merges all.
+    LAYERS, GONE_SHARE = 16, 0.25
+    #: Seconds for which what an older version uses is kept for its readers.
+    RETAIN = 24 * 3600
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -84,9 +93,19 @@ class Store:
         return Manifest(**json.loads(self._read(f"manifest-{version:08d}.json")))
 
     def publish(self, m: Manifest) -> None:
-        """Make `m` the next version: its manifest first, then the pointer, replaced by a rename."""
+        """Make `m` the next version: its manifest first, then the pointer, replaced by a rename.
+
+        A version can be written once only: whoever comes second, or began before the pointer moved, fails.
+        """
+        if (int(self._read("CURRENT")) if self._exists("CURRENT") else 0) != m.version:
+            raise StoreMoved(f"{self.path} has another version than {m.version}")
+        try:
+            self._write(f"manifest-{m.version + 1:08d}.json", json.dumps(asdict(m) | {"version": m.version + 1}), overwrite=False)
+        except Exception as e:
+            if self._exists(f"manifest-{m.version + 1:08d}.json"):
+                raise StoreMoved(f"{self.path} has a version {m.version + 1}") from e
+            raise
         m.version += 1
-        self._write(f"manifest-{m.version:08d}.json", json.dumps(asdict(m)))
         self._write("CURRENT.next", str(m.version))
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
         rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
@@ -150,39 +169,101 @@ class Store:
         m = self.manifest() or Manifest()
         self.publish(Manifest(version=m.version, caches=m.caches, next_id=m.next_id))
 
-    def vacuum(self) -> int:
-        """Delete folders and manifests that the published version doesn't use; returns how many. Not while older snapshots are read."""
+    def compact(self, m: Manifest) -> bool:
+        """Merge layers of `m` that have become many, and caches; ids stay. Returns whether anything was merged.
+
+        The first layer, by far the largest, is left alone until many of its rows are gone.
+        """
+        gone = self.gone_ids(m)
+        n_gone = gone.distinct().count() if gone is not None else 0
+        whole = n_gone > self.GONE_SHARE * (m.n_chunks + n_gone)
+        if len(m.layers) < self.LAYERS and len(m.gone) < self.LAYERS and not whole:
+            return False
+        rest = Manifest(layers=m.layers if whole else m.layers[1:], gone=m.gone)
+        if rest.layers:
+            folder = self.new_folder("layer")
+            for name, order in (("chunks", ["id"]), ("vectors", ["id"]), ("postings", ["term", "id"])):
+                self.save(self.table(rest, name).repartitionByRange(*order).sortWithinPartitions(*order), f"{folder}/{name}")
+            m.layers = [*([] if whole else m.layers[:1]), folder]
+        if whole:
+            m.gone = []
+        elif gone is not None:
+            self.save(gone.distinct(), folder := self.new_folder("gone"))
+            m.gone = [folder]
+        if len(m.caches) > 1:
+            self.save(self.cache(m), folder := self.new_folder("cache"))
+            m.caches = [folder]
+        return True
+
+    def vacuum(self, retain: float | None = None) -> int:
+        """Delete what no version uses that was published within `retain` seconds (RETAIN) or was the last before; returns how many.
+
+        Only for the writer: what a running one has not yet published would go too.
+        """
         m = self.manifest()
         if m is None:
             return 0
-        used = {*m.layers, *m.gone, m.tracking, *m.caches, "CURRENT", "LOCK", "PROJECT_SUMMARY.md", f"manifest-{m.version:08d}.json"}
+        since = time.time() - (self.RETAIN if retain is None else retain)
+        there = {x.getPath().getName(): x.getModificationTime() / 1000 for x in self._fs.listStatus(self._path(self.path))}
+        versions = sorted((n for n in there if n.startswith("manifest-")), reverse=True)
+        recent = [n for n, later in zip(versions, [None, *versions], strict=False) if later is None or there[later] >= since]
+        used = {"CURRENT", "LOCK", "PROJECT_SUMMARY.md", *recent}
+        for name in recent:
+            old = Manifest(**json.loads(self._read(name)))
+            used |= {*old.layers, *old.gone, old.tracking, *old.caches}
         n = 0
-        for status in self._fs.listStatus(self._path(self.path)):
-            if status.getPath().getName() not in used and not status.getPath().getName().startswith("."):
-                n += bool(self._fs.delete(status.getPath(), True))
+        for name in there.keys() - used:
+            if not name.startswith("."):
+                n += bool(self._fs.delete(self._at(name), True))
         return n
 
 
 class Lock:
-    """The single writer's mark: a file that is created only where none is. One that is older than STALE is replaced."""
+    """The single writer's mark: a file with its owner's token, created only where none is, and renewed while the writer lives.
+
+    One without a sign of life for STALE seconds is replaced; an owner whose mark is gone learns it by
+    `check`, and never deletes another's.
+    """
 
     def __init__(self, store: Store):
-        self.store = store
+        self.store, self.token, self.done = store, uuid.uuid4().hex, threading.Event()
+
+    def _owner(self) -> str | None:
+        try:
+            return self.store._read("LOCK")
+        except Exception:
+            if self.store._exists("LOCK"):
+                raise
+            return None
 
     def __enter__(self) -> Lock:
         s = self.store
         if s._exists("LOCK") and time.time() - s._fs.getFileStatus(s._at("LOCK")).getModificationTime() / 1000 > s.STALE:
             s._fs.delete(s._at("LOCK"), False)
         try:
-            s._write("LOCK", str(time.time()), overwrite=False)
+            s._write("LOCK", self.token, overwrite=False)
         except Exception as e:
             if s._exists("LOCK"):
                 raise StoreLocked(f"{s.path} has a writer") from e
             raise
+        threading.Thread(target=self._renew, daemon=True).start()
         return self
 
+    def _renew(self) -> None:
+        while not self.done.wait(self.store.STALE / 5):
+            if self._owner() != self.token:
+                return
+            now = int(time.time() * 1000)
+            self.store._fs.setTimes(self.store._at("LOCK"), now, now)
+
+    def check(self) -> None:
+        if self._owner() != self.token:
+            raise StoreMoved(f"{self.store.path} has another writer")
+
     def __exit__(self, *_) -> None:
-        self.store._fs.delete(self.store._at("LOCK"), False)
+        self.done.set()
+        if self._owner() == self.token:
+            self.store._fs.delete(self.store._at("LOCK"), False)
 
 
 def dense_ids(store: Store, df: DataFrame, order: list[str], first: int) -> DataFrame:

@@ -1,9 +1,10 @@
 import os
+import time
 
 import pytest
 from symdex import __main__ as cli
 from symdex.api import Engine
-from symdex.sources.store import StoreLocked
+from symdex.sources.store import Manifest, Store, StoreLocked, StoreMoved
 from symdex.streaming import ingest
 
 FILES = {
@@ -72,7 +73,7 @@ def test_life_of_an_index(spark, tmp_path):
     assert rows(e) == rows(other)
     a, b = e.store.manifest(), other.store.manifest()
     assert (a.n_chunks, a.n_tokens) == (b.n_chunks, b.n_tokens)
-    assert e.store.vacuum() > 0 and rows(e) == rows(other)
+    assert e.store.vacuum(retain=0) > 0 and rows(e) == rows(other)
 
     # a full build keeps the cache, so nothing is embedded again
     known = other.store.cache(b).count()
@@ -87,6 +88,60 @@ def test_life_of_an_index(spark, tmp_path):
     assert e.refresh(full=True)["indexed"]
 
 
+def test_of_two_writers_one_publishes(spark, tmp_path):
+    a, b = Store(spark, str(tmp_path / "i")), Store(spark, str(tmp_path / "i"))
+    m, late = Manifest(), Manifest()
+    a.publish(m)
+    with pytest.raises(StoreMoved):
+        b.publish(late)
+    assert (m.version, late.version, a.manifest().version) == (1, 0, 1)
+    with a.lock() as first:
+        first.check()
+        with pytest.raises(StoreLocked), b.lock():
+            pass
+        os.utime(tmp_path / "i" / "LOCK", (1, 1))  # without a sign of life
+        with b.lock() as second:
+            second.check()
+            with pytest.raises(StoreMoved):
+                first.check()
+            first.__exit__()
+            second.check()
+    assert not (tmp_path / "i" / "LOCK").exists()
+
+
+def test_a_writer_gives_signs_of_life(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Store, "STALE", 1.0)
+    a = Store(spark, str(tmp_path / "i"))
+    with a.lock():
+        time.sleep(2.5)
+        with pytest.raises(StoreLocked), Store(spark, a.path).lock():
+            pass
+
+
+def test_layers_are_merged_and_old_files_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Store, "LAYERS", 3)
+    root = tmp_path / "p"
+    for i in range(12):
+        write(root, f"f{i}.md", f"words of file {i}")
+    e = Engine(spark, str(root))
+    e.refresh()
+    for turn in range(3):
+        write(root, f"f{turn}.md", f"other words {turn} " * (turn + 1))
+        write(root, f"new{turn}.md", f"new words {turn}")
+        e.refresh()
+    m = e.store.manifest()
+    assert len(m.layers) < 3 and len(m.gone) <= 2 and m.n_chunks == e.chunks().count() == 15
+    ids = [r[0] for r in e.chunks().select("id").collect()]
+    assert len(set(ids)) == 15 and {r[0] for r in e.store.table(m, "vectors").select("id").collect()} == set(ids) == {r[0] for r in e.store.table(m, "postings").select("id").collect()}
+    other = Engine(spark, str(root), index=str(tmp_path / "other"))
+    other.refresh()
+    assert rows(e) == rows(other) and m.n_tokens == other.store.manifest().n_tokens
+    there = {p.name for p in (root / e.store.path).iterdir()}
+    e.store.vacuum(retain=0)
+    left = {p.name for p in (root / e.store.path).iterdir()}
+    assert left < there and {*m.layers, *m.gone, *m.caches, m.tracking} <= left and rows(e) == rows(other)
+
+
 def test_an_empty_project(spark, tmp_path):
     (tmp_path / "p").mkdir()
     e = Engine(spark, str(tmp_path / "p"))

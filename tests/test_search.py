@@ -71,6 +71,56 @@ def test_embedding_is_ordered_and_failures_are_null(spark):
     assert q("a") == q("a") and q("b") and q("c") and list(q.held) == ["b", "c"]
 
 
+def slow_model():
+    """Loaders that fail and that hang; made here, so that workers need no import of this file."""
+    import time
+
+    class Hangs:
+        def encode(self, texts):
+            time.sleep(60)
+
+    def broken():
+        raise RuntimeError("no weights")
+
+    return broken, Hangs
+
+
+def test_a_lazy_embedder_loads_once_and_remembers_a_failure(spark):
+    import time
+
+    calls = []
+    good = V.LazyEmbedder("good", lambda: calls.append(1) or V.HashEmbedder(8), 8)
+    assert good.encode(["a"]).shape == (1, 8) and good.encode(["b", "c"]).shape == (2, 8) and calls == [1]
+    load, hangs = slow_model()
+    bad = V.LazyEmbedder("bad", lambda: calls.append(2) or load(), 8)
+    for _ in range(2):
+        with pytest.raises(V.EmbedderGone):
+            bad.encode(["a"])
+    assert calls == [1, 2]
+    bad.reset()
+    with pytest.raises(V.EmbedderGone):
+        bad.encode(["a"])
+    assert calls == [1, 2, 2]
+    df = spark.createDataFrame([(i, "t") for i in range(2000)], "id long, t string").coalesce(1)
+    began = time.time()
+    assert V.embed(df, V.LazyEmbedder("hangs", hangs, 8, timeout=0.5), "t", batch=10).where("embedding is not null").count() == 0
+    assert time.time() - began < 30
+
+
+def test_fused_ids_are_those_of_the_fusion(spark):
+    import random
+
+    rng = random.Random(4)
+    kinds = ["section", "enum", "method", "class", "constant", "other"]
+    for _ in range(3):
+        near = sorted(((i, rng.random()) for i in rng.sample(range(40), 15)), key=lambda x: (x[1], x[0]))
+        text = sorted(((i, -rng.random()) for i in rng.sample(range(40), 15)), key=lambda x: (x[1], x[0]))
+        kind = {i: rng.choice(kinds) for i in range(40)}
+        wanted = search.fuse(spark.createDataFrame(near, "id long, distance double"), spark.createDataFrame(text, "id long, rank double"), 12, spark.createDataFrame(list(kind.items()), "id long, symbol_type string")).collect()
+        got = search.fused_ids(near, text, kind)[:12]
+        assert [g[0] for g in got] == [r["id"] for r in wanted] and [g[1:3] for g in got] == [(r["distance"], r["rank"]) for r in wanted] and [g[3] for g in got] == pytest.approx([r["score"] for r in wanted])
+
+
 def test_every_path_has_one_action(spark):
     tracked = spark.createDataFrame([("same", 1.0, 5, "h1"), ("touched", 1.0, 5, "h2"), ("changed", 1.0, 5, "h3"), ("gone", 1.0, 5, "h4"), ("nulls", None, None, None)], "file_path string, file_mtime double, file_size long, content_hash string")
     current = spark.createDataFrame([("same", 1.0, 5, "other"), ("touched", 2.0, 5, "h2"), ("changed", 1.0, 6, "hx"), ("fresh", 1.0, 1, "h5"), ("nulls", None, None, None)], "file_path string, file_mtime double, file_size long, content_hash string")
