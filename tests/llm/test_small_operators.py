@@ -206,8 +206,22 @@ LICENCES = [
     (None, "", "none"),
     ("", "", "none"),
     ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General\nPublic License as published by the Free Software Foundation; either version 2.1 of the License, or (at your\noption) any later version.", "LGPL-2.1-or-later", "known"),
-    ("\n\n".join(t for n, t in licenses.SENTENCES if n.startswith("BSD_")), "BSD-3-Clause", "known"),
-    ("\n\n".join(t for n, t in licenses.SENTENCES if n.startswith("BSD_") and n != "BSD_NO_ENDORSE"), "BSD-2-Clause", "known"),
+    ("\n\n".join(t for n, t in licenses.SENTENCES if n.startswith("BSD_")), "BSD-4-Clause", "known"),
+    ("\n\n".join(t for n, t in licenses.SENTENCES if n.startswith("BSD_") and n != "BSD_ADVERTISING"), "BSD-3-Clause", "known"),
+    ("\n\n".join(t for n, t in licenses.SENTENCES if n.startswith("BSD_") and n not in ("BSD_ADVERTISING", "BSD_NO_ENDORSE")), "BSD-2-Clause", "known"),
+    ("This project is dual licensed under the MIT license or the Apache License 2.0.", "Apache-2.0,MIT", "known"),
+    ("# SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT", "known"),
+    ("# SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND BSD-3-Clause", "BSD-3-Clause,GPL-2.0-or-later", "known"),
+    ("This is licensed under the GNU General Public License, version 2 or any later version.", "GPL-2.0-or-later", "known"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.", "GPL-3.0-only", "known"),
+    ("Boost Software License - Version 1.0 - August 17th, 2003\n\n" + "\n\n".join(t for n, t in licenses.SENTENCES if n in ("BOOST_GRANT", "BOOST_NOTICE")), "BSL-1.0", "known"),
+    ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0", "known"),
+    ("Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the \"Licence\");", "EUPL-1.2", "known"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation", "GPL-3.0-only", "known"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0", "known"),
+    # sentences on both sides of a run, or of an unknown sentence, don't stand together
+    ("\n\n".join(dict(licenses.SENTENCES)[n] for n in ("LGPL_TERMS", "ISC_GRANT", "V3_LATER")), "ISC", "known"),
+    ("\n\n".join([dict(licenses.SENTENCES)["LGPL_TERMS"], "No warranty of ours here", dict(licenses.SENTENCES)["V3_LATER"]]), "", "unknown"),
 ]
 
 
