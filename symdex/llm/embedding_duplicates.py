@@ -4,8 +4,10 @@ Equal vectors are one node from the start. Lists of neighbours begin from blocks
 stand together in the order of random hyperplane codes; each round joins neighbours of neighbours:
 the members of a node's list, and of the lists that hold it, are compared with each other, and
 what beats the end of a list enters it. A list whose every entry is a link is saturated and
-becomes twice as long. An audit compares a fixed sample with all vectors in blocks; rounds go on
-until it finds the target recall. Whatever the lists keep, every pair that is measured at the threshold
+becomes twice as long. An audit compares a sample with all vectors in blocks, a sample that grows
+until enough of its vectors have links; rounds go on until the mean share of a vector's links that they
+connect reaches the target, and, where links are so rare that the audit sees few, until lists hardly
+change. Whatever the lists keep, every pair that is measured at the threshold
 counts: a run or a round hands on a spanning forest of its links.
 
 Edges at the threshold make components. The rounds only save work: at the end all pairs of vectors
@@ -35,8 +37,10 @@ ORDERS, PLANES, RUN = 6, 32, 128
 SAMPLE = 20
 #: Rounds at least and at most; the audit may end them in between.
 ROUNDS = (1, 12)
-#: Vectors of the audit's sample, and the recall that ends the rounds (never the comparison after them).
-AUDIT, RECALL = 256, 0.99
+#: Vectors of the audit's sample at first and at most, those of them that should have links, and the recall that ends the rounds (never the comparison after them).
+AUDIT, LARGEST_AUDIT, LINKED, RECALL = 256, 16_384, 100, 0.99
+#: Share of new entries in lists below which the rounds have converged.
+STILL = 0.01
 #: Vectors of a component that are compared in one piece.
 BLOCK = 1024
 #: Bytes of vectors in a tile, and rows of one that are multiplied at a time.
@@ -175,7 +179,8 @@ def first_lists(nodes: DataFrame, longest: int = LIST, threshold: float = THRESH
     label = nodes.schema["label"].dataType.simpleString()
     coded = nodes.select("node", "label", "dim", "vec").mapInArrow(codes, f"k int, label {label}, dim int, code bigint, node bigint, vec {kind}")
     order = ["k", "label", "dim", "code"]
-    return coded.repartitionByRange(*order).sortWithinPartitions(*order, "node").mapInArrow(runs, MEASURED)
+    # the node is in the range key, as a dense group may have one code
+    return coded.repartitionByRange(*order, "node").sortWithinPartitions(*order, "node").mapInArrow(runs, MEASURED)
 
 
 def top(lists: DataFrame) -> DataFrame:
@@ -237,16 +242,34 @@ def audit(nodes: DataFrame, sample: int = AUDIT, threshold: float = THRESHOLD) -
     return nodes.select("node", "label", "dim", "vec").mapInArrow(run, "a bigint, b bigint").where("a <> b")
 
 
-def descend(nodes: DataFrame, threshold: float = THRESHOLD, longest: int = LIST, least_recall: float = RECALL) -> tuple[DataFrame, float]:
-    """Components (node, component) of all links that were measured, and the share of the audit's links whose ends they connect."""
+def audited(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, int, int]:
+    """Links (a, b) of a sample, the sample's nodes that have any, and the sample's size: it grows until LINKED have, up to LARGEST_AUDIT or all nodes."""
+    size, every = AUDIT, nodes.count()
+    while True:
+        true = materialize(audit(nodes, size, threshold), "audit")
+        linked = true.select("a").distinct().count()
+        if linked >= LINKED or size >= min(every, LARGEST_AUDIT):
+            return true, linked, size
+        drop(true)
+        size = min(size * 8, LARGEST_AUDIT)
+
+
+def recall_of(true: DataFrame, joined: DataFrame) -> float | None:
+    """Mean share, by linked node of the audit, of its links whose ends are in one component; None without any."""
+    name = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    met = true.join(name("a"), "a", "left").join(name("b"), "b", "left").withColumn("met", F.coalesce((F.col("ca") == F.col("cb")).cast("double"), F.lit(0.0)))
+    return met.groupBy("a").agg(F.avg("met").alias("r")).agg(F.avg("r")).first()[0]
+
+
+def descend(nodes: DataFrame, threshold: float = THRESHOLD, longest: int = LIST, least_recall: float = RECALL) -> tuple[DataFrame, float | None]:
+    """Components (node, component) of all links that were measured, and their recall by the audit (None if it saw no link)."""
     entries = lambda df: df.where(~F.col("link")).drop("link").withColumn("fresh", F.lit(True))
     ends = lambda df: df.where("link").select(F.col("u").alias("a"), F.col("v").alias("b"))
     start = materialize(first_lists(nodes, longest, threshold), "measured")
     links = materialize(ends(start).distinct(), "links")
     graph = materialize(top(entries(start)), "lists")
     drop(start)
-    true = materialize(audit(nodes, threshold=threshold), "audit")
-    wanted = true.count()
+    true, linked, _ = audited(nodes, threshold)
     most = LONGEST
     for turn in range(1, ROUNDS[1] + 1):
         size = graph.groupBy("u").agg(F.count("*").alias("n"), F.max("cap").alias("c"), F.min("sim").alias("end"))
@@ -261,11 +284,10 @@ def descend(nodes: DataFrame, threshold: float = THRESHOLD, longest: int = LIST,
         drop(found, spent)
         if turn < ROUNDS[0]:
             continue
+        moved = graph.agg(F.avg(F.col("fresh").cast("double"))).first()[0] or 0.0
         joined = settled(components(links), "components")
-        name = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-        met = true.join(name("a"), "a").join(name("b"), "b").where("ca = cb").count()
-        recall = met / wanted if wanted else 1.0
-        if recall >= least_recall:
+        recall = recall_of(true, joined)
+        if (recall is None or recall >= least_recall) and (linked >= LINKED or moved <= STILL):
             break
         most *= 2
     return joined, recall
@@ -348,7 +370,10 @@ def count_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def embedding_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of `df`: key, n_links, component_id, kept.
+    """One row for each row of `df`: key, n_links, component_id, kept, descent_recall.
+
+    descent_recall, the same in all rows, is what share of the audited links the rounds alone connect
+    (null if the audit saw none); n_links and component_id are whole whatever it is.
 
     Vectors of equal non-null labels and equal length link from a cosine of `threshold` on. Null, empty
     and zero vectors, those with null or non-finite components, and rows of a null label or a null
@@ -365,7 +390,8 @@ def embedding_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embe
     nodes = first.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.sum("members").alias("members"), F.first("label").alias("label"), F.first("vec").alias("vec"), F.collect_set("salt").alias("salts"))
     nodes = nodes.withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("vec")})
     nodes = materialize(nodes, "nodes")
-    joined = closed(nodes, descend(nodes, threshold)[0], threshold)
+    found, recall = descend(nodes, threshold)
+    joined = closed(nodes, found, threshold)
     members = joined.join(nodes.select("node", "id", "members", "vec"), "node")
     least = members.groupBy("component").agg(F.min("id").alias("least"))
     links = count_links(members, threshold)
@@ -374,7 +400,7 @@ def embedding_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embe
     info = info.select("h1", "h2", "salt", F.least("least", "id").alias("component_id"), (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = rows.select("id", "h1", "h2", "salt").join(info, ["h1", "h2", "salt"], "left")
     out = out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id"))).withColumn("descent_recall", F.lit(recall).cast("double"))
 
 
 def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

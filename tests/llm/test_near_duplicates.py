@@ -162,6 +162,23 @@ def test_rare_links_are_found_whatever_the_rounds_see(spark, folder, monkeypatch
     assert got == {i: (int(near[i].sum()), wanted[i]) for i in range(400)}
 
 
+def test_the_rounds_find_rare_links_by_themselves(spark):
+    """200 pairs among 8,000 vectors of one label: the audit grows until it sees them, and the rounds go on."""
+    rng = np.random.default_rng(9)
+    x = ed.unit(rng.standard_normal((8000, 32)))
+    x[7800:] = ed.unit(x[:200] + 0.05 * rng.standard_normal((200, 32)))
+    rows = [(i, v.astype(np.float32).tolist(), 0, 32) for i, v in enumerate(x)]
+    nodes = ed.materialize(spark.createDataFrame(rows, "node long, vec array<float>, label int, dim int").repartition(4), "nodes")
+    _, linked, size = ed.audited(nodes)
+    assert linked >= ed.LINKED and size > ed.AUDIT
+    joined, recall = ed.descend(nodes)
+    of = {r["node"]: r["component"] for r in joined.collect()}
+    near = ed.unit(np.array([r[1] for r in rows], np.float32))
+    pairs = np.argwhere(np.triu(near @ near.T >= 0.93, 1)).tolist()
+    met = sum(of.get(a, a) == of.get(b, b) for a, b in pairs) / len(pairs)
+    assert len(pairs) > 150 and met >= 0.9 and recall >= 0.9
+
+
 def test_links_of_a_component_are_counted_in_blocks(spark, monkeypatch):
     rows = [(0, i, 1 + i % 2, v) for i, (_, v, _) in enumerate(r for r in vectors(6) if r[2] == 1 and r[1] and len(r[1]) == 24 and None not in r[1] and np.isfinite(r[1]).all())][:120]
     df = spark.createDataFrame(rows, "component long, node long, members long, vec array<float>")
