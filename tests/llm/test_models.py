@@ -192,6 +192,27 @@ def test_ngrams_do_not_span_texts_and_scores_are_of_whole_texts():
     assert far[0] > 0.5 > far[1]
 
 
+def test_features_of_a_long_text_are_those_of_its_pieces(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("ab c,D", k=n)) for n in (900, 0, 37, 2000)]
+    whole = toxicity.present(texts)
+    for piece in (10, 64, 997):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert all(np.array_equal(a, b) for a, b in zip(toxicity.present(texts), whole, strict=True))
+
+
+def test_long_labelled_rows_teach(spark, folder):
+    """All toxic rows of the sample are long."""
+    rng = random.Random(6)
+    known = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(500)]
+    plain = lambda n: " ".join(rng.choices(known, k=n))
+    docs = [(i, plain(12_000) + " vile snarl vile" if i % 10 == 0 else plain(rng.randint(3, 400)), "en", "s", 0) for i in range(300)]
+    path = folder(documents=docs, labels=[(i, 1, int(i % 10 == 0)) for i in range(300)])
+    assert all(len(t) > 50_000 for i, t, *_ in docs if i % 10 == 0)
+    got = {r["doc_id"]: r["predicted"] for r in QUERIES["op9_toxicity"](spark, path).collect()}
+    assert got == {i: int(i % 10 == 0) for i in range(300)}
+
+
 def test_without_both_labels(spark, folder):
     path = folder(documents=[(i, f"text {i}") for i in range(9)], labels=[(i, 1, 0) for i in range(9)])
     assert all(r["score"] < 0.01 for r in QUERIES["op9_toxicity"](spark, path).collect())

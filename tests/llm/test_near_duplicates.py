@@ -74,6 +74,46 @@ def test_documents_against_all_pairs(spark, folder, seed):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(sets[i]), wanted[i], wanted[i] == i) for i in sets}
 
 
+def test_repeated_rows_are_compared_once(spark):
+    """Two near texts of 50 rows each are one pair; their sets are made once. A hot hub's members are dealt over parts."""
+    words = [f"w{i}" for i in range(100)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:-1], "other"])}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items() for _ in range(50)], "doc_id long, text string").repartition(7)
+    for _ in range(3):
+        rows = nd.near_duplicates(docs, percent=85).collect()
+        assert len(rows) == 100 and {r["component_id"] for r in rows} == {1} and sum(r["kept"] for r in rows) == 50
+    own = {i: nd.fingerprints(nd.shingle_sets([t])[0])[0] for i, t in texts.items()}
+    wanted = spark.createDataFrame(list(own.items()), "cid long, f1 long")
+    assert nd.sets_of(docs.withColumnRenamed("doc_id", "cid"), wanted).count() == 2
+
+
+def test_a_hub_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(nd, "STAR", 4)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join(base)] + [" ".join(w if k != i else "x" for k, w in enumerate(base)) for i in range(40)] + [" ".join(rng.choices(base, k=80)) for _ in range(9)]
+    sets = nd.shingle_sets(texts)
+    rows = [(i, nd.fingerprints(h)[0], h.tobytes()) for i, h in enumerate(sets)]
+    frame = spark.createDataFrame([(i, f, bytearray(b)) for i, f, b in rows], "cid long, f1 long, shingles binary")
+    pairs = spark.createDataFrame([(0, rows[0][1], i, f) for i, f, _ in rows[1:]], "u long, fu long, v long, fv long")
+    got = {(r["a"], r["b"]) for r in nd.stars(pairs, frame, 85).collect()}
+    assert got == {(0, i) for i in range(1, len(texts)) if nd.similar(sets[0], sets[i], 85)} and len(got) == 40
+
+
+def test_words_are_told_apart_as_bytes():
+    rng = random.Random(3)
+    texts = ["", None, " \t", "One ONE one", "é É", "a" * 700_000 + " b", *(" ".join("".join(rng.choices("ab\x0bc", k=5)) for _ in range(50)) for _ in range(40))]
+    w = nd.split_words(texts)
+    seen = {}
+    for i, t in enumerate(texts):
+        plain = (t or "").encode().lower().split()
+        own = w.hashes[w.bounds[i] : w.bounds[i + 1]].tolist()
+        assert len(own) == len(plain)
+        for word, h in zip(plain, own, strict=True):
+            assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_a_torn_bucket_is_joined():
     """Members that are not near a bucket's centre are compared with each other."""
     rng = np.random.default_rng(1)

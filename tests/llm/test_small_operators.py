@@ -110,6 +110,41 @@ def test_the_stage_takes_documents_without_words_with_their_block(spark, folder)
     assert got == wanted and any(i % 4 for i in got)
 
 
+def test_shards_get_their_leaves_and_draw_disjoint_blocks(spark, monkeypatch):
+    """Each drawn block of a source goes to one shard, shards get the quotas of their leaves, and the mix is written in each shard's order."""
+    docs = spark.createDataFrame([(i, f"w{i} " * (1 + i % 7), "abc"[min(i % 8, 2)]) for i in range(3000)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, n_shards=5, blocks=64).collect()
+    of = {r["doc_id"]: r for r in rows}
+    block = {r["doc_id"]: r["b"] for r in docs.select("doc_id", F.pmod(mixing.hash52(F.concat(mixing.key_text(F.col("doc_id")), F.lit(":mix:0"))), F.lit(64)).alias("b")).collect()}
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    shards = collections.defaultdict(set)  # of each draw of a block
+    for i, r in of.items():
+        for turn, s in enumerate(r["shards"]):
+            shards[source[i], block[i], turn].add(s)
+    assert all(len(s) == 1 for s in shards.values())
+    drawn = collections.Counter(next(iter(s)) for s in shards.values())
+    assert max(drawn.values()) - min(drawn.values()) <= 1  # the tree deals all blocks evenly, so leaves have the same number
+    per_source = collections.defaultdict(collections.Counter)
+    for (name, _, _), s in shards.items():
+        per_source[name][next(iter(s))] += 1
+    assert all(set(c) == set(range(5)) for c in per_source.values())
+    out = mixing.emit(docs, n_shards=5, blocks=64).withColumn("p", F.spark_partition_id()).collect()
+    assert collections.Counter(r["doc_id"] for r in out) == {i: len(r["shards"]) for i, r in of.items() if r["shards"]}
+    taken = collections.Counter()
+    for r in out:
+        taken[r["doc_id"]] += len(r["text"].split())
+    assert taken == {i: r["taken"] for i, r in of.items() if r["taken"]}
+    # a shard's documents aren't in the order of their ids
+    ids = [r["doc_id"] for r in out]
+    assert sum(a < b for a, b in zip(ids, ids[1:], strict=False)) < 0.6 * len(ids)
+
+
+def test_a_plan_that_is_joined_by_shuffle_gives_the_same_mix(spark, monkeypatch):
+    wanted = sorted(map(str, QUERIES["op3_source_mixing"](spark, SF).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 0)
+    assert sorted(map(str, QUERIES["op3_source_mixing"](spark, SF).collect())) == wanted
+
+
 def test_the_splitting_tree_deals_every_block(spark):
     quotas = [700, 3, 0, 41, 1]
     rows = mixing.split_quotas(spark.createDataFrame([(quotas,)], "quotas array<long>"), 7, 3).collect()
