@@ -31,8 +31,6 @@ TERM_LETTERS = 4
 SUPPORT = 2
 #: Shares of an entity's information from which a term is generalised or removed.
 GENERALISE, REMOVE = 0.8, 0.95
-#: Candidate terms up to which they are sent to all executors (about 60 bytes each); more are joined by shuffle.
-BROADCAST_TERMS = 200_000
 #: Parts over which an (entity, term) group is dealt.
 SALTS = 16
 TERMS = "array<struct<s:int,e:int,remove:boolean>>"
@@ -168,14 +166,12 @@ def disclosing(docs: DataFrame, found: DataFrame, pairs: DataFrame, text: str) -
     together = together.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(spread(of_entity), ["entity", "salt"]).drop("salt")
     together = materialize(together, "together")
     terms = materialize(together.select("term").distinct(), "terms")
-    small = terms.count() <= BROADCAST_TERMS
+    # terms are counted before they meet the candidates: what is joined is a vocabulary, not its occurrences
     words = docs.select(F.explode(distinct_terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
-    if small:
-        words = words.join(F.broadcast(terms), "term")
-    of_term = words.groupBy("term").agg(F.count("*").alias("df_t"))
+    of_term = words.groupBy("term").agg(F.count("*").alias("df_t")).join(terms, "term")
     info = F.log2(F.lit(float(n_docs)) / F.col("df_e"))
     pmi = F.log2(F.col("c") * F.lit(float(n_docs)) / (F.col("df_t").cast("double") * F.col("df_e")))
-    both = together.withColumn("salt", F.pmod(F.xxhash64("entity"), F.lit(SALTS)).cast("int")).join(spread(of_term.join(terms, "term", "left_semi")), ["term", "salt"])
+    both = together.withColumn("salt", F.pmod(F.xxhash64("entity"), F.lit(SALTS)).cast("int")).join(spread(of_term), ["term", "salt"])
     return both.where(info > 0).select("entity", "term", (pmi / info).alias("share")).where(F.col("share") >= GENERALISE)
 
 
