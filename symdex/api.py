@@ -18,7 +18,7 @@ from symdex.functions import render
 from symdex.functions.text import phrases
 from symdex.functions.vectors import HashEmbedder, QueryVectors, nearest
 from symdex.operators import fulltext, search, stats
-from symdex.plans.index import Indexer, Progress, project_folder, quiet
+from symdex.plans.index import TABLE_ROOT, Indexer, Progress, TableIndexer, project_folder, quiet
 from symdex.sources.corpus import resolve_root
 from symdex.sources.store import Manifest, Store
 
@@ -31,17 +31,22 @@ def rounded(x: float) -> float:
 
 
 class Engine:
-    """Reads are snapshots of the version that is published when they begin; `refresh` is the single writer."""
+    """Reads are snapshots of the version that is published when they begin; `refresh` is the single writer.
 
-    def __init__(self, spark: SparkSession, root: str | None = None, index: str | None = None, embedder=None, progress: Progress = quiet):
+    With `files` (schema.FILE) the rows of that table are indexed rather than a folder; `index` must be given then.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, index: str | None = None, embedder=None, progress: Progress = quiet, files: DataFrame | None = None):
+        if files is not None and not index:
+            raise ValueError("an index of a table needs a folder")
         self.spark = spark
-        self.root = root if root and "://" in root else resolve_root(root)
+        self.root = TABLE_ROOT if files is not None else root if root and "://" in root else resolve_root(root)
         self.embedder = embedder or HashEmbedder()
         self.store = Store(spark, index or project_folder(self.root))
         self.vectors = QueryVectors(self.embedder)
         self.pinned: tuple[int, dict[str, DataFrame]] = (0, {})
         custom = (os.environ.get("SYMDEX_CUSTOM_PLATFORM", "").strip(), os.environ.get("SYMDEX_CUSTOM_MARKER", "").strip())
-        self.indexer = Indexer(spark, self.root, self.store, self.embedder, progress, custom)
+        self.indexer = Indexer(spark, self.root, self.store, self.embedder, progress, custom) if files is None else TableIndexer(spark, files, self.store, self.embedder, progress)
 
     # ---- queries
 

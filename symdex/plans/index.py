@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from symdex import schema
 from symdex.functions import names as N
+from symdex.functions.paths import has_indexed_size, is_indexed_name, prune
 from symdex.functions.skip import skip_reason
 from symdex.functions.vectors import embed
 from symdex.operators.chunks import chunk_files
@@ -28,6 +29,8 @@ from symdex.plans.summary import project_summary
 from symdex.sources.corpus import corpus, listing, with_content, with_text
 from symdex.sources.store import Manifest, Store, dense_ids
 
+#: What an index of a table has for a root.
+TABLE_ROOT = "table://files"
 Progress = Callable[[str, int, int, str], None]
 
 
@@ -52,13 +55,15 @@ class Indexer:
             return listing(self.spark, self.root)
         return corpus(self.spark, self.root).select("file_path", "file_mtime", "file_size")
 
+    def contents(self, files: DataFrame | None = None) -> DataFrame:
+        """`files` with their bytes; without `files` all of the corpus."""
+        if files is None and not self.is_local():
+            return corpus(self.spark, self.root)
+        return with_content(self.spark, self.root, self.listed() if files is None else files)
+
     def classified(self, files: DataFrame | None = None) -> DataFrame:
-        """`files` with content, content_hash and skip_reason; without `files` all of the corpus."""
-        if files is None:
-            found = with_content(self.spark, self.root, self.listed()) if self.is_local() else corpus(self.spark, self.root)
-        else:
-            found = with_content(self.spark, self.root, files)
-        return found.withColumns({"content_hash": content_hash(F.col("content")), "skip_reason": skip_reason(F.col("file_path"), F.col("content"))})
+        """The same with content_hash and skip_reason."""
+        return self.contents(files).withColumns({"content_hash": content_hash(F.col("content")), "skip_reason": skip_reason(F.col("file_path"), F.col("content"))})
 
     # ---- writing
 
@@ -158,7 +163,7 @@ class Indexer:
             if n["work"] or n_deleted:
                 self.remove(m, looked.where("action = 'changed'").select("file_path").unionByName(deleted))
             if n["index"]:
-                self.add_layer(m, with_content(self.spark, self.root, changed.where(F.col("skip_reason").isNull()).select("file_path", "file_mtime")))
+                self.add_layer(m, self.contents(changed.where(F.col("skip_reason").isNull()).select("file_path", "file_mtime")))
             kept = tracked.select("file_path", "skipped", F.col("skip_reason").alias("old_reason"))
             rows = looked.join(kept, "file_path", "left")
             touched = F.col("action") == "touched"
@@ -176,6 +181,25 @@ class Indexer:
         return m
 
 
+class TableIndexer(Indexer):
+    """The writer of a store whose files are the rows of a table (schema.FILE, each path once) under the rules of a folder.
+
+    A refresh compares the table as it is then with the tracking; bytes are read of differing rows only.
+    """
+
+    def __init__(self, spark: SparkSession, files: DataFrame, store: Store, embedder, progress: Progress = quiet):
+        super().__init__(spark, TABLE_ROOT, store, embedder, progress)
+        self.files = prune(files).where(is_indexed_name(F.col("file_path")) & has_indexed_size(F.col("file_size")))
+
+    def listed(self) -> DataFrame:
+        return self.files.select("file_path", "file_mtime", "file_size")
+
+    def contents(self, files: DataFrame | None = None) -> DataFrame:
+        if files is None:
+            return self.files
+        return files.join(self.files.select("file_path", "content"), "file_path").select(*files.columns, "content")
+
+
 def project_folder(root: str) -> str:
     """Where the index of a project is kept by default: its own folder, which scans pass over."""
     return str(Path(root) / N.OWN_DIR)

@@ -7,11 +7,13 @@ vectors (label stands for the kind of symbol), `conversations` for files with sy
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symdex.api import Engine
 from symdex.functions import names as N
 from symdex.functions.detect import path_facts
 from symdex.functions.paths import file_name, has_indexed_size, is_indexed_name, prune, suffix
@@ -20,6 +22,7 @@ from symdex.functions.text import lines, phrases, plain_phrases, plain_tokens
 from symdex.functions.vectors import HashEmbedder, embed, l2, nearest
 from symdex.operators import chunks as C
 from symdex.operators import fulltext, search, stats, tracking
+from symdex.sources.store import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -508,3 +511,98 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reindex_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J7 the other way: the rows that are chunked again."""
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "source")
+
+
+# ---- the engine -----------------------------------------------------------------------------
+
+
+def file_rows(docs: DataFrame, path, text, mtime) -> DataFrame:
+    content = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    return docs.select(path.alias("file_path"), F.lit(mtime).cast("double").alias("file_mtime"), F.octet_length(content).cast("long").alias("file_size"), content.alias("content"))
+
+
+def files_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files."""
+    return file_rows(table(spark, sf_dir, "documents"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")), F.col("text"), 2.0)
+
+
+def files_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier state: documents with labels only, toxic ones with another text, those of quality 1 touched since, those of quality 0 once more in a folder that goes."""
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    known = table(spark, sf_dir, "documents").select("doc_id", "source", "text").join(marks, "doc_id")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    text = F.when(F.col("toxic") == 1, F.concat(F.lit("old\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    then = F.when((F.col("toxic") == 1) | (F.col("quality") == 1), 1.0).otherwise(2.0)
+    kept = file_rows(known, F.concat(F.col("source"), F.lit("/"), name), text, then)
+    return kept.unionByName(file_rows(known.where("quality = 0"), F.concat(F.lit("gone/"), name), F.col("text"), 1.0))
+
+
+def built(spark: SparkSession, sf_dir: str) -> Engine:
+    """The index of all documents, built in one go. It is kept for the session; a later call only refreshes it."""
+    e = Engine(spark, index=f"{shared_folder(spark)}/built-{zlib.crc32(sf_dir.encode())}", files=files_now(spark, sf_dir))
+    e.refresh()
+    return e
+
+
+def refreshed(spark: SparkSession, sf_dir: str) -> Engine:
+    """The same, built from the earlier state and refreshed with all documents."""
+    index = f"{shared_folder(spark)}/refreshed-{zlib.crc32(sf_dir.encode())}"
+    e = Engine(spark, index=index, files=files_before(spark, sf_dir))
+    if e.store.manifest() is None:
+        e.refresh(full=True)
+    e = Engine(spark, index=index, files=files_now(spark, sf_dir))
+    e.refresh()
+    return e
+
+
+TRACKED_FILES = f"""tracked_files as (with f as (select doc_id, source, doc_id || '.txt' as n, coalesce(text, '') as t from documents), {HEAD}
+  select doc_id, source || '/' || doc_id || '.txt' as file_path, source, t as text, {REASON_OF} as reason from g where strlen(t) between {N.LEAST_BYTES} and {N.MOST_BYTES})"""
+INDEXED_CHUNKS = f"""{TRACKED_FILES}, kept as (select * from tracked_files where reason is null),
+made as (({ORACLES['summary_chunks'].replace('from documents', 'from kept')}) union all ({ORACLES['section_chunks'].replace('from documents', 'from kept')}))"""
+MARKS = "marks as (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by doc_id)"
+
+
+@query(f"with {INDEXED_CHUNKS} select row_number() over (order by file_path, ordinal) as id, symbol_name, symbol_type, line_start, line_end, source_code, search_text from made")
+def engine_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that a full build stores, with their ids."""
+    return built(spark, sf_dir).chunks().select("id", "symbol_name", "symbol_type", "line_start", "line_end", "source_code", "search_text")
+
+
+@query(f"with {INDEXED_CHUNKS} select file_path, symbol_name, symbol_type, line_start, line_end, source_code, search_text from made")
+def engine_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks after a refresh that adds, changes, touches and deletes files."""
+    return refreshed(spark, sf_dir).chunks().select("file_path", "symbol_name", "symbol_type", "line_start", "line_end", "source_code", "search_text")
+
+
+@query(f"with {TRACKED_FILES} select file_path, 2.0::double as file_mtime, md5(text) as content_hash, strlen(text) as file_size, reason is not null as skipped, reason as skip_reason from tracked_files")
+def engine_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: the tracking after that refresh."""
+    e = refreshed(spark, sf_dir)
+    return e.store.tracking(e.store.manifest())
+
+
+@query(f"""with {INDEXED_CHUNKS}, {MARKS}, k as (select symbol_type, count(*) as n from made group by symbol_type),
+old as (select d.doc_id, quality, toxic, case when toxic = 1 then 'old' || chr(10) || coalesce(text, '') else coalesce(text, '') end as t, coalesce(text, '') as u from documents d join marks using (doc_id)),
+was as (select doc_id, toxic = 1 as other from old where strlen(t) between {N.LEAST_BYTES} and {N.MOST_BYTES})
+select (select count(*) from made) as total_chunks, (select count(distinct file_path) from made) as total_files, (select string_agg(symbol_type || '=' || n, ',' order by symbol_type) from k) as by_type,
+(select count(*) from tracked_files) as tracked_files, (select count(*) from tracked_files where reason is not null) as skipped_files,
+(select count(*) from tracked_files left join was using (doc_id) where coalesce(other, true)) as files_reindexed,
+(select count(*) from old where quality = 0 and strlen(u) between {N.LEAST_BYTES} and {N.MOST_BYTES}) + (select count(*) from was where doc_id not in (select doc_id from tracked_files)) as files_deleted""")
+def engine_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status after that refresh, and what the refresh did."""
+    s = refreshed(spark, sf_dir).status()
+    kinds = ",".join(f"{k}={n}" for k, n in sorted(s["by_type"].items()))
+    row = (s["total_chunks"], s["total_files"], kinds, s["tracked_files"], s["skipped_files"], int(s["meta"]["files_reindexed"]), int(s["meta"]["files_deleted"]))
+    return spark.createDataFrame([row], "total_chunks bigint, total_files bigint, by_type string, tracked_files bigint, skipped_files bigint, files_reindexed bigint, files_deleted bigint")
+
+
+@query(f"with {INDEXED_CHUNKS} select file_path, symbol_name, line_start, line_end from made where symbol_type = 'section' and contains(symbol_name, ':51-')")
+def engine_symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8 over the stored chunks."""
+    return refreshed(spark, sf_dir).search_symbol(":51-", "section").select("file_path", "symbol_name", "line_start", "line_end")
+
+
+@query()
+def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R3, R4, R7 over the stored postings and vectors; a test holds it against an index that was built in one go."""
+    return refreshed(spark, sf_dir).search_code(WORDS, K).select("file_path", "symbol_name", "distance", "rank", "score")

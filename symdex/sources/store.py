@@ -7,11 +7,15 @@ file system API, so a store may be anything that Spark writes to.
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 import threading
 import time
 import uuid
 from dataclasses import asdict, dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +28,22 @@ TABLES = {"chunks": schema.CHUNKS, "vectors": schema.VECTORS, "postings": schema
 GONE = T.StructType([T.StructField("id", T.LongType(), False)])
 
 
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder for its stores below spark.checkpoint.dir; only a local session without it takes a temporary one."""
+    app = spark.sparkContext.applicationId
+    base = spark.conf.get("spark.checkpoint.dir", "") or _LOCAL.get(app)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="symdex-store-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = _LOCAL[app] = Path(folder).as_uri()
+    return f"{base.rstrip('/')}/symdex-store/{app}"
+
+
 class StoreLocked(RuntimeError):
     """Another writer is at work."""
 

@@ -37,3 +37,21 @@ def test_the_driver_entry_stands_without_the_corpus_folder(tmp_path):
     code = "import __spark_entry__ as e; assert 'hybrid_rrf' in e.queries() and not any(q.startswith('op') for q in e.queries()); e.oracle_sql()"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     assert done.returncode == 0, done.stderr
+
+
+def test_a_refreshed_index_searches_like_one_built_in_one_go(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    one, other = queries.refreshed(spark, sf_dir), queries.built(spark, sf_dir)
+    a, b = one.store.manifest(), other.store.manifest()
+    assert (a.n_chunks, a.n_tokens) == (b.n_chunks, b.n_tokens) and len(a.layers) == 2 and a.gone
+    for words in (queries.WORDS, "edble reble", "in the"):
+        # ids differ, and with them the order of ties, so the hits are taken without a limit that could cut a tie
+        ranks = [{(r["file_path"], r["symbol_name"]): round(r["rank"], 6) for r in e.search_text(words, 10_000).collect()} for e in (one, other)]
+        assert ranks[0] == ranks[1] and ranks[0]
+
+
+def test_an_index_of_a_table_needs_a_folder(spark):
+    from symdex.api import Engine
+
+    with pytest.raises(ValueError):
+        Engine(spark, files=queries.files_now(spark, "/root/testdata/sf0.001"))
