@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symdex.llm.shared import attach_group, table, work_dir
+from symdex.llm.shared import attach_group, bound_batches, lean, table, work_dir
 
 #: Fixed values of the formats: Zstandard's magics, the archive's dictionary frame, the revisit profile.
 FRAME_MAGIC = 0xFD2FB528
@@ -295,7 +295,8 @@ def write_archives(records: DataFrame, path: str, dictionary: bytes, volume_byte
                     place += 1
             yield pa.RecordBatch.from_arrays([pa.array(volumes, pa.int32()), pa.array(places, pa.int64()), pa.array(frames, pa.binary())], names=["volume", "place", "frame"])
 
-    rows = records.select("page_id", "url", "html", "refers_to", "revisit").mapInArrow(run, "volume int, place bigint, frame binary")
+    bound_batches(records.sparkSession)
+    rows = records.select("page_id", "url", "html", "refers_to", "revisit").mapInArrow(lean(run), "volume int, place bigint, frame binary")
     rows = rows.sortWithinPartitions("volume", "place")  # as the writer asks for its files; already so within a task
     rows.select("volume", F.col("frame").cast("string").alias("value")).write.partitionBy("volume").option("lineSep", SEPARATOR).text(path)
 
@@ -329,8 +330,9 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
                 if rows:
                     yield batch_of(rows)
 
+    bound_batches(spark)  # a volume travels alone
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(run, RECORD)
+    return files.mapInArrow(lean(run), RECORD)
 
 
 def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
