@@ -75,7 +75,11 @@ def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents with shard and slot, in place of columns of these names."""
+    """Pipeline stage: the documents with shard and slot, in place of columns of these names.
+
+    Every row stays, repeated ones too, each with a slot of its own; null and empty texts are dealt by
+    their doc_id as others are, null doc_ids all to one shard; an empty table gives an empty result.
+    """
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
     return number(assign(docs.select(*kept), "doc_id"), "shard", "doc_id", ["n_chars"]).select(*kept, "shard", "slot")
 
