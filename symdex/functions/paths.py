@@ -86,4 +86,6 @@ def prune(files: DataFrame, path: str = "file_path") -> DataFrame:
     shapes = shapes.where(looks_like_content(F.col("dirs"), F.col("files")) & ~own_rule).select("dir")
     below = df.where(F.exists("__dirs", lambda x: x.isin(*sorted(N.SKIPPED_BELOW["wp-content"])))).select(path, F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.size("__dirs")), lambda i: F.struct(F.array_join(F.slice("__dirs", F.lit(1), i - 1), "/").alias("dir"), F.get("__dirs", i - 1).alias("child"))), lambda x: x["child"].isin(*sorted(N.SKIPPED_BELOW["wp-content"])))).alias("x"))
     gone = below.select(path, "x.dir").join(shapes, "dir", "left_semi").select(path).distinct()
-    return df.drop("__dirs").join(gone, path, "left_anti")
+    # only rows with such a name among their directories meet the join, so no others are shuffled
+    may_go = F.exists("__dirs", lambda x: x.isin(*sorted(N.SKIPPED_BELOW["wp-content"])))
+    return df.where(~may_go).unionByName(df.where(may_go).join(gone, path, "left_anti").select(*df.columns)).drop("__dirs")

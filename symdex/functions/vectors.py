@@ -85,12 +85,16 @@ class HashEmbedder:
     def encode(self, texts: list[str]) -> np.ndarray:
         import xxhash
 
-        out = np.zeros((len(texts), self.dimension))
-        for i, text in enumerate(texts):
+        hashes, sizes = [], []
+        for text in texts:
             words = tokens(text)
-            for feature in [*words, *(" ".join(p) for p in zip(words, words[1:], strict=False))]:
-                h = xxhash.xxh3_64_intdigest(feature)
-                out[i, h % self.dimension] += 1.0 if h >> 63 else -1.0
+            features = [*words, *map(" ".join, zip(words, words[1:], strict=False))]
+            hashes += map(xxhash.xxh3_64_intdigest, features)
+            sizes.append(len(features))
+        h = np.array(hashes, np.uint64)
+        cells = np.repeat(np.arange(len(texts)), sizes) * self.dimension + (h % np.uint64(self.dimension)).astype(np.int64)
+        signs = np.where(h >> np.uint64(63), 1.0, -1.0)
+        out = np.bincount(cells, signs, len(texts) * self.dimension).reshape(len(texts), self.dimension)
         out = np.sign(out) * np.sqrt(np.abs(out))  # a repeated word weighs less than its count
         norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
@@ -178,15 +182,16 @@ def embed(df: DataFrame, embedder, text: str, column: str = "embedding", batch:
         for whole in batches:
             for lo in range(0, whole.num_rows, batch):
                 own = whole.slice(lo, batch)
-                vectors = [None] * own.num_rows
+                vectors = pa.nulls(own.num_rows, pa.list_(pa.float32()))
                 if failed < FAILURES:
                     try:
-                        vectors, failed = checked(embedder, [t or "" for t in own.column(at).to_pylist()]).tolist(), 0
+                        found, failed = checked(embedder, [t or "" for t in own.column(at).to_pylist()]), 0
+                        vectors = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), embedder.dimension).cast(pa.list_(pa.float32()))
                     except EmbedderGone:
                         failed = FAILURES
                     except EmbeddingError:
                         failed += 1
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(vectors, pa.list_(pa.float32()))], names=names)
+                yield pa.RecordBatch.from_arrays([*own.columns, vectors], names=names)
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(column, T.ArrayType(T.FloatType()))]))
 

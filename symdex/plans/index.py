@@ -1,6 +1,7 @@
 """Building and refreshing the index.
 
-Full build: list, classify, chunk, embed what the cache lacks, write one layer. Refresh: the diff of
+Full build: list, classify, chunk, embed what the cache lacks, write one layer. What costs much is
+written once and read again rather than made again: texts with their reasons, chunks, postings. Refresh: the diff of
 listing and tracking decides; bytes are read only of files whose time or size differ, and only
 new and changed files are chunked. Both end in one published version.
 """
@@ -68,10 +69,10 @@ class Indexer:
     # ---- writing
 
     def add_layer(self, m: Manifest, files: DataFrame) -> tuple[int, int]:
-        """Chunk, embed and index (file_path, content, file_mtime); returns (chunks, tokens) that were added."""
+        """Chunk, embed and index (file_path, text, file_mtime); returns (chunks, tokens) that were added."""
         layer = self.store.new_folder("layer")
         self.progress("parse", 0, 0, "")
-        made = chunk_files(with_text(files).select("file_path", "text", "file_mtime"))
+        made = chunk_files(files.select("file_path", "text", "file_mtime"))
         chunks = dense_ids(self.store, made, ["file_path", "ordinal"], m.next_id).select(*schema.CHUNKS.fieldNames())
         chunks = self.store.save(chunks, f"{layer}/chunks")
         n = chunks.count()
@@ -85,9 +86,11 @@ class Indexer:
         vectors = self.store.save(hashed.select("id", "embedding"), f"{layer}/vectors")
         m.meta["chunks_without_vector"] = str(n - vectors.count())
         self.progress("store", 0, n, "")
-        index = postings(chunks, "id", ["symbol_name", "search_text"]).repartitionByRange("term", "id").sortWithinPartitions("term", "id", "col")
-        index = self.store.save(index, f"{layer}/postings")
-        tokens = index.groupBy("id").agg(F.max("n_tokens").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        # written as they come first: finding the ranges would make all postings once more
+        made = self.store.save(postings(chunks, "id", ["symbol_name", "search_text"]), came := self.store.new_folder("staged"))
+        index = self.store.save(made.repartitionByRange("term", "id").sortWithinPartitions("term", "id", "col"), f"{layer}/postings")
+        self.store.drop(came)
+        tokens = index.agg(F.coalesce(F.sum(F.size("positions")), F.lit(0))).first()[0]  # each token has one position
         self.progress("store", 1, n, "")
         m.layers.append(layer)
         m.next_id += n
@@ -103,7 +106,7 @@ class Indexer:
         gone = self.store.save(self.store.table(m, "chunks").select("id", "file_path").join(paths.select("file_path").distinct(), "file_path", "left_semi").select("id"), folder)
         n = gone.count()
         if n:
-            lost = self.store.table(m, "postings").join(gone, "id", "left_semi").groupBy("id").agg(F.max("n_tokens").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            lost = self.store.table(m, "postings").join(gone, "id", "left_semi").agg(F.coalesce(F.sum(F.size("positions")), F.lit(0))).first()[0]
             m.n_chunks -= n
             m.n_tokens -= lost
             m.gone.append(folder)
@@ -124,11 +127,12 @@ class Indexer:
             m = Manifest(version=old.version, caches=list(old.caches), next_id=old.next_id)
             self.progress("discover", 0, 0, "")
             files = self.classified()
-            staged = self.store.save(files.select(*schema.TRACKING.fieldNames()[:4], F.col("skip_reason").isNotNull().alias("skipped"), "skip_reason"), folder := self.store.new_folder("tracking"))
-            m.tracking = folder
-            counts = staged.agg(F.count("*").alias("n"), F.count_if("skipped").alias("s")).first()
+            looked = self.store.save(with_text(files).select(*schema.TRACKING.fieldNames()[:4], F.col("skip_reason").isNotNull().alias("skipped"), "skip_reason", F.when(F.col("skip_reason").isNull(), F.col("text")).alias("text")), work := self.store.new_folder("looked"))
+            self.save_tracking(m, looked)
+            counts = self.store.tracking(m).agg(F.count("*").alias("n"), F.count_if("skipped").alias("s")).first()
             self.progress("discover", counts["n"], counts["n"], "")
-            self.add_layer(m, files.where(F.col("skip_reason").isNull()))
+            self.add_layer(m, looked.where(F.col("skip_reason").isNull()))
+            self.store.drop(work)
             m.meta |= {
                 "last_full_build": datetime.now(UTC).isoformat(), "build_time_seconds": f"{time.time() - began:.1f}", "total_files": str(counts["n"] - counts["s"]), "skipped_files": str(counts["s"]), "project_root": self.root,
             }
@@ -147,15 +151,19 @@ class Indexer:
         with self.store.lock() as lock:
             tracked = self.store.tracking(m)
             self.progress("discover", 0, 0, "")
-            first = diff(self.listed(), tracked)
+            first = self.store.save(diff(self.listed(), tracked), listed := self.store.new_folder("diff"))
             open_ = first.where(F.col("action").isin("new", "suspect"))
             read = self.classified(open_.select("file_path", "file_mtime", "file_size", "old_hash", "action"))
             action = F.when((F.col("action") == "suspect") & (F.col("content_hash") == F.col("old_hash")), "touched").when(F.col("action") == "suspect", "changed").otherwise(F.col("action"))
-            looked = self.store.save(read.select("file_path", "file_mtime", "file_size", "content_hash", "skip_reason", action.alias("action")), self.store.new_folder("diff"))
+            read = with_text(read).withColumn("action", action)
+            kept = F.col("action").isin("new", "changed") & F.col("skip_reason").isNull()
+            looked = self.store.save(read.select("file_path", "file_mtime", "file_size", "content_hash", "skip_reason", "action", F.when(kept, F.col("text")).alias("text")), work := self.store.new_folder("looked"))
             deleted = first.where("action = 'deleted'").select("file_path")
             n = looked.agg(F.count("*").alias("seen"), F.count_if(F.col("action").isin("new", "changed")).alias("work"), F.count_if(F.col("action").isin("new", "changed") & F.col("skip_reason").isNull()).alias("index")).first()
             n_deleted = deleted.count()
             if not n["seen"] and not n_deleted:
+                self.store.drop(listed)
+                self.store.drop(work)
                 return m
             m.layers, m.gone, m.caches, m.meta = list(m.layers), list(m.gone), list(m.caches), dict(m.meta)
             changed = looked.where(F.col("action").isin("new", "changed"))
@@ -163,13 +171,15 @@ class Indexer:
             if n["work"] or n_deleted:
                 self.remove(m, looked.where("action = 'changed'").select("file_path").unionByName(deleted))
             if n["index"]:
-                self.add_layer(m, self.contents(changed.where(F.col("skip_reason").isNull()).select("file_path", "file_mtime")))
-            kept = tracked.select("file_path", "skipped", F.col("skip_reason").alias("old_reason"))
-            rows = looked.join(kept, "file_path", "left")
+                self.add_layer(m, changed.where(F.col("skip_reason").isNull()))
+            known = tracked.select("file_path", "skipped", F.col("skip_reason").alias("old_reason"))
+            rows = looked.join(known, "file_path", "left")
             touched = F.col("action") == "touched"
             reason = F.when(touched, F.col("old_reason")).otherwise(F.col("skip_reason"))
             rows = rows.select("file_path", "file_mtime", "content_hash", "file_size", F.when(touched, F.col("skipped")).otherwise(F.col("skip_reason").isNotNull()).alias("skipped"), reason.alias("skip_reason"))
             self.save_tracking(m, upsert(tracked.join(deleted, "file_path", "left_anti"), rows, "file_path"))
+            self.store.drop(listed)
+            self.store.drop(work)
             m.meta = m.meta | {"last_incremental_update": datetime.now(UTC).isoformat(), "incremental_time_seconds": f"{time.time() - began:.1f}", "files_reindexed": str(n["work"]), "files_deleted": str(n_deleted)}
             if n["work"] or n_deleted:
                 self.save_summary(m)
