@@ -1,8 +1,11 @@
 """Steps whose time or shuffled bytes had grown too fast."""
 
 from pyspark.sql import functions as F
+from symdex.api import Engine
 from symdex.functions import text
+from symdex.functions.paths import prune
 from symdex.operators import chunks, fulltext
+from symdex.plans.index import TableIndexer
 
 
 def plan(df):
@@ -31,3 +34,22 @@ def test_plain_postings_shuffle_nothing(spark):
     index = fulltext.plain_postings(docs, "id", "t")
     assert sorted(map(tuple, index.collect())) == [("a", 1, 0, [1], 4), ("a", 4, 0, [0], 1), ("b", 1, 0, [0, 2], 4), ("c", 1, 0, [3], 4)]
     assert "Exchange" not in plan(fulltext.plain_postings(spark.range(1).select("id", F.col("id").cast("string").alias("t")), "id", "t"))
+
+
+def test_pruning_shuffles_only_rows_that_may_go(spark):
+    files = spark.createDataFrame([("a/x.txt", b"1"), ("wp-content/themes/t.txt", b"2"), ("b/plugins/p.txt", b"3")], "file_path string, content binary")
+    found = prune(files)
+    assert "Union" in plan(found) and sorted(r[0] for r in found.collect()) == ["a/x.txt", "b/plugins/p.txt", "wp-content/themes/t.txt"]
+
+
+def test_a_refresh_reads_contents_once_and_leaves_no_working_folders(spark, tmp_path, monkeypatch):
+    calls = []
+    contents = TableIndexer.contents
+    monkeypatch.setattr(TableIndexer, "contents", lambda self, files=None: calls.append(1) or contents(self, files))
+    rows = [(f"a{i}.txt", 1.0, 20, b"some words of a file") for i in range(3)]
+    kind = "file_path string, file_mtime double, file_size bigint, content binary"
+    Engine(spark, index=str(tmp_path / "i"), files=spark.createDataFrame(rows[:2], kind)).refresh()
+    calls.clear()
+    s = Engine(spark, index=str(tmp_path / "i"), files=spark.createDataFrame([("a0.txt", 2.0, 21, b"other words of a file"), *rows[1:]], kind)).refresh()
+    assert s["total_chunks"] == 3 and s["meta"]["files_reindexed"] == "2" and len(calls) == 1
+    assert not [p.name for p in (tmp_path / "i").iterdir() if p.name.startswith(("looked", "diff"))]
