@@ -80,7 +80,7 @@ def prune(files: DataFrame, path: str = "file_path") -> DataFrame:
     # children of each directory among the rows that are left; "" is the root
     steps = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i - 1), "/").alias("dir"), F.get(parts, i - 1).alias("child"), (i < F.size(parts)).alias("is_dir"))))
     wanted = sorted(N.CONTENT_MARKERS | {"index.php"})
-    children = df.select(steps.alias("x")).select("x.*").where(F.col("child").isin(*wanted) & (F.col("dir") != "")).groupBy("dir")
+    children = df.where(F.arrays_overlap(parts, F.array(*map(F.lit, wanted)))).select(steps.alias("x")).select("x.*").where(F.col("child").isin(*wanted) & (F.col("dir") != "")).groupBy("dir")
     shapes = children.agg(F.collect_set(F.when(F.col("is_dir"), F.col("child"))).alias("dirs"), F.collect_set(F.when(~F.col("is_dir"), F.col("child"))).alias("files"))
     own_rule = F.element_at(F.split("dir", "/"), -1).isin(*sorted(N.SKIPPED_BELOW))
     shapes = shapes.where(looks_like_content(F.col("dirs"), F.col("files")) & ~own_rule).select("dir")

@@ -152,6 +152,9 @@ class Indexer:
             tracked = self.store.tracking(m)
             self.progress("discover", 0, 0, "")
             first = self.store.save(diff(self.listed(), tracked), listed := self.store.new_folder("diff"))
+            if first.where("action <> 'unchanged'").isEmpty():  # no contents are looked for
+                self.store.drop(listed)
+                return m
             open_ = first.where(F.col("action").isin("new", "suspect"))
             read = self.classified(open_.select("file_path", "file_mtime", "file_size", "old_hash", "action"))
             action = F.when((F.col("action") == "suspect") & (F.col("content_hash") == F.col("old_hash")), "touched").when(F.col("action") == "suspect", "changed").otherwise(F.col("action"))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from symdex import schema
 from symdex.operators.tracking import last_by
@@ -154,7 +155,7 @@ class Store:
         return self.spark.read.schema(of).parquet(f"{self.path}/{name}")
 
     def empty(self, of: T.StructType) -> DataFrame:
-        return self.spark.createDataFrame([], of)
+        return self.spark.createDataFrame(to_arrow_schema(of).empty_table(), of)  # a local relation: no worker starts for it
 
     def gone_ids(self, m: Manifest) -> DataFrame | None:
         if not m.gone:

@@ -53,3 +53,37 @@ def test_a_refresh_reads_contents_once_and_leaves_no_working_folders(spark, tmp_
     s = Engine(spark, index=str(tmp_path / "i"), files=spark.createDataFrame([("a0.txt", 2.0, 21, b"other words of a file"), *rows[1:]], kind)).refresh()
     assert s["total_chunks"] == 3 and s["meta"]["files_reindexed"] == "2" and len(calls) == 1
     assert not [p.name for p in (tmp_path / "i").iterdir() if p.name.startswith(("looked", "diff"))]
+
+
+def test_texts_are_cut_into_lines_once(spark):
+    texts = ["\n".join(f"l{i}" for i in range(n)) + end for n in (1, 29, 30, 31, 50, 51, 100, 101) for end in ("", "\n", "\r\n", "\n\n")]
+    texts += [None, "", "a\rb\x85c d\r\ne\x1c", "x\n" + " \n" * 60, "y\n" * 50 + "\x1f\n" * 50 + "z"]
+    files = spark.createDataFrame([(f"f{i}.txt", t, 1.0) for i, t in enumerate(texts)], "file_path string, text string, file_mtime double")
+    found = chunks.plain_chunks(files)
+    assert "Union" not in plan(found)
+    apart = chunks.file_summaries(files).unionByName(chunks.sections(files))
+    assert sorted(map(str, found.collect())) == sorted(map(str, apart.collect()))
+    lines = {r[0]: r[1] for r in files.select("file_path", text.lines(F.col("text"))).collect()}
+    assert [lines[f"f{i}.txt"] for i in range(len(texts))] == [(t or "").splitlines() for t in texts]
+
+
+def test_a_distinct_word_is_stemmed_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    calls = []
+    monkeypatch.setattr(fulltext, "stem", lambda w: calls.append(w) or text.stem(w))
+    found = fulltext.grouped(pa.array([7, 8]), np.array([[1, 3], [0, 2]]), pa.array("runs run dogs runs dogs run".split()), True)
+    assert sorted(map(tuple, (r.values() for r in found.to_pylist()))) == [("dog", 7, 1, [1], 4), ("dog", 8, 1, [0], 2), ("run", 7, 0, [0], 4), ("run", 7, 1, [0, 2], 4), ("run", 8, 1, [1], 2)]
+    assert sorted(calls) == ["dogs", "run", "runs"]
+    assert fulltext.grouped(pa.array([], pa.int64()), np.zeros((0, 2), np.int64), pa.array([], pa.string()), True).num_rows == 0
+
+
+def test_contents_of_an_unchanged_table_are_not_looked_for(spark, tmp_path, monkeypatch):
+    files = spark.createDataFrame([("a.txt", 1.0, 20, b"some words of a file")], "file_path string, file_mtime double, file_size bigint, content binary")
+    e = Engine(spark, index=str(tmp_path / "i"), files=files)
+    e.refresh()
+    before = e.store.manifest()
+    monkeypatch.setattr(TableIndexer, "contents", lambda self, files=None: 1 / 0)
+    e.refresh()
+    assert e.store.manifest() == before and not [p.name for p in (tmp_path / "i").iterdir() if p.name.startswith(("looked", "diff"))]
