@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,20 +79,18 @@ class Indexer:
         chunks = self.store.save(chunks, f"{layer}/chunks")
         n = chunks.count()
         self.progress("embed", 0, n, "")
-        _, missing = split_by_cache(chunks.select("id", "search_text"), self.store.cache(m))
-        fresh = embed(missing, self.embedder, "search_text").where(F.col("embedding").isNotNull()).select("text_hash", "embedding")
-        folder = self.store.new_folder("cache")
-        self.store.save(fresh, folder)
-        m.caches.append(folder)
-        hashed, _ = split_by_cache(chunks.select("id", "search_text"), self.store.cache(m))
-        vectors = self.store.save(hashed.select("id", "embedding"), f"{layer}/vectors")
-        m.meta["chunks_without_vector"] = str(n - vectors.count())
-        self.progress("store", 0, n, "")
-        # written as they come first: finding the ranges would make all postings once more
-        made = self.store.save(postings(chunks, "id", ["symbol_name", "search_text"]), came := self.store.new_folder("staged"))
-        index = self.store.save(made.repartitionByRange("term", "id").sortWithinPartitions("term", "id", "col"), f"{layer}/postings")
-        self.store.drop(came)
-        tokens = index.agg(F.coalesce(F.sum(F.size("positions")), F.lit(0))).first()[0]  # each token has one position
+        with ThreadPoolExecutor(1) as pool:  # postings and vectors side by side: neither's last tasks leave the cores idle
+            indexed = pool.submit(inheritable_thread_target(self.spark)(self.save_postings), chunks, layer)
+            _, missing = split_by_cache(chunks.select("id", "search_text"), self.store.cache(m))
+            fresh = embed(missing, self.embedder, "search_text").where(F.col("embedding").isNotNull()).select("text_hash", "embedding")
+            folder = self.store.new_folder("cache")
+            self.store.save(fresh, folder)
+            m.caches.append(folder)
+            hashed, _ = split_by_cache(chunks.select("id", "search_text"), self.store.cache(m))
+            vectors = self.store.save(hashed.select("id", "embedding"), f"{layer}/vectors")
+            m.meta["chunks_without_vector"] = str(n - vectors.count())
+            self.progress("store", 0, n, "")
+            tokens = indexed.result()
         self.progress("store", 1, n, "")
         m.layers.append(layer)
         m.next_id += n
@@ -98,6 +98,14 @@ class Indexer:
         m.n_tokens += tokens
         return n, tokens
 
+    def save_postings(self, chunks: DataFrame, layer: str) -> int:
+        """Write the postings of a layer's chunks; returns their tokens."""
+        # written as they come first: finding the ranges would make all postings once more
+        made = self.store.save(postings(chunks, "id", ["symbol_name", "search_text"]), came := self.store.new_folder("staged"))
+        index = self.store.save(made.repartitionByRange("term", "id").sortWithinPartitions("term", "id", "col"), f"{layer}/postings")
+        self.store.drop(came)
+        return index.agg(F.coalesce(F.sum(F.size("positions")), F.lit(0))).first()[0]  # each token has one position
+
     def remove(self, m: Manifest, paths: DataFrame) -> None:
         """Take the chunks of these files out of the version."""
         if not m.layers:
